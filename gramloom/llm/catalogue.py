@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import ledger, subsequences, terms
+from gramloom.llm import ledger, overlap, spans, subsequences, terms
 from gramloom.tables import table
 
 
@@ -46,7 +46,35 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("first_id").alias("doc_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts)}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training record and an evaluation record that are equal or slightly changed."""
+    pairs = overlap.cross_split_pairs(table(spark, folder, "toy"))
+    return pairs.select(F.least("train_id", "eval_id").alias("doc_id_1"), F.greatest("train_id", "eval_id").alias("doc_id_2"))
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per split and source of the evaluation record."""
+    records = table(spark, folder, "toy")
+    return overlap.overlap_counts(records, overlap.cross_split_pairs(records))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of each record that stand in other records too."""
+    return spans.shared_spans(table(spark, folder, "toy"))
+
+
+def p7_share(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each record stands in other records too."""
+    records = table(spark, folder, "toy")
+    return spans.shared_share(records, spans.shared_spans(records))
+
+
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Fuzzy passages: chains of matches between two records."""
+    return spans.fuzzy_passages(table(spark, folder, "toy"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages)}
 
 _TOKENS = """
 WITH b AS (SELECT DISTINCT block_id, run_id, ngram, loc FROM space_t WHERE ngram IS NOT NULL AND len(loc) > 0 AND ngram_size = 1),
@@ -94,4 +122,24 @@ SELECT ngram, occurrences, documents, CASE WHEN documents < 5 THEN 'rare' WHEN d
     "p5_found": _GROUPS + "SELECT first_doc_id, doc_id AS copy_doc_id FROM g WHERE doc_id <> first_doc_id",
     "p5_counts": _GROUPS + "SELECT first_doc_id AS doc_id, count(*) AS copies FROM g GROUP BY first_doc_id",
 }
+SQL["p2_found"] = r"""
+WITH a AS (SELECT DISTINCT doc_id, class_label AS l, example_sequence AS s, CASE WHEN split_name = 'train' THEN 1 WHEN split_name IN ('dev', 'test') THEN 2 END AS side,
+    coalesce(regexp_full_match(class_label, '[\s\x{A0}\x{200B}]*[+-]?[0-9]{1,18}[\s\x{A0}\x{200B}]*'), false) AS li,
+    coalesce(regexp_full_match(example_sequence, '[\s\x{A0}\x{200B}]*[+-]?[0-9]{1,18}[\s\x{A0}\x{200B}]*'), false) AS si FROM toy WHERE doc_id IS NOT NULL),
+x AS (SELECT doc_id, side, lower(regexp_replace(CASE WHEN NOT li AND si THEN l ELSE s END, '[^\p{L}\p{Nd}]+', '', 'g')) AS t FROM a WHERE side IS NOT NULL),
+c AS (SELECT t, row_number() OVER (ORDER BY t) AS c, bool_or(side = 1) AS tr, bool_or(side = 2) AS ev FROM x WHERE t IS NOT NULL GROUP BY t),
+g AS (SELECT DISTINCT c, substr(t, CAST(i AS BIGINT), 6) AS g FROM c, range(1, greatest(2, length(t) - 4)) r(i)),
+j AS (SELECT a.c AS a, b.c AS b, count(*) AS n FROM g a JOIN g b USING (g) JOIN c ca ON ca.c = a.c AND ca.tr JOIN c cb ON cb.c = b.c AND cb.ev GROUP BY ALL),
+v AS (SELECT j.a, j.b FROM j JOIN c x ON x.c = j.a JOIN c y ON y.c = j.b WHERE j.a = j.b OR (abs(length(x.t) - length(y.t)) <= floor(0.1 * greatest(length(x.t), length(y.t)) + 1e-9)
+    AND n >= 0.1 * greatest(length(x.t), length(y.t)) AND levenshtein(x.t, y.t) <= floor(0.1 * greatest(length(x.t), length(y.t)) + 1e-9)))
+SELECT DISTINCT least(p.doc_id, q.doc_id) AS doc_id_1, greatest(p.doc_id, q.doc_id) AS doc_id_2 FROM v JOIN c x ON x.c = v.a JOIN c y ON y.c = v.b JOIN x p ON p.t = x.t AND p.side = 1 JOIN x q ON q.t = y.t AND q.side = 2"""
+
+SQL["p7_found"] = """
+WITH t AS (SELECT DISTINCT doc_id, example_sequence AS s FROM toy WHERE doc_id IS NOT NULL AND length(example_sequence) >= 60),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS i, hash(substr(s, CAST(i + 1 AS BIGINT), 60)) AS h FROM t, range(0, length(s) - 59) r(i)),
+k AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 60 THEN 0 ELSE 1 END AS new FROM w WHERE h IN (SELECT h FROM k)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 60 AS INTEGER) AS span_end FROM g GROUP BY doc_id, g.g"""
+
 SQL["p1_support"] = SQL["p1_found"].replace("SELECT run_id, pattern FROM r", "SELECT run_id, pattern, support FROM r")
