@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import ledger, overlap, spans, subsequences, terms
-from gramloom.tables import table
+from gramloom.llm import ledger, mixing, overlap, packing, spans, subsequences, terms
+from gramloom.llm.tokens import with_tokens
+from gramloom.tables import cut, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +75,35 @@ def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
     return spans.fuzzy_passages(table(spark, folder, "toy"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages)}
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """A container for every document, or piece of one, and every kind of container."""
+    sized = cut(with_tokens(spark, table(spark, folder, "documents").select("doc_id", "text")))
+    return packing.pack_documents(sized, table(spark, folder, "containers"))
+
+
+def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used and room left unused."""
+    containers = table(spark, folder, "containers")
+    return packing.usage(p8_packed(spark, folder), containers)
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sized = cut(with_tokens(spark, table(spark, folder, "documents").select("doc_id", "source", "text")))
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mix(spark, sized, targets), sized, targets
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix, a row for each copy of a document, in random order."""
+    return mixing.shuffled(_mixed(spark, folder)[0])
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages, p8_packed, p8_usage, p9_mix, p9_shares)}
 
 _TOKENS = """
 WITH b AS (SELECT DISTINCT block_id, run_id, ngram, loc FROM space_t WHERE ngram IS NOT NULL AND len(loc) > 0 AND ngram_size = 1),
