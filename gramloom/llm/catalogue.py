@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import ledger, mixing, overlap, packing, spans, subsequences, terms
+from gramloom.llm import ledger, mixing, overlap, packing, sentences, spans, subsequences, terms
 from gramloom.llm.tokens import with_tokens
 from gramloom.tables import cut, table
 
@@ -103,7 +103,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages, p8_packed, p8_usage, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentences.sentences(spark, table(spark, folder, "documents")).distinct()
+
+
+def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences and their characters per language tag."""
+    documents = table(spark, folder, "documents")
+    found = sentences.sentences(spark, documents).distinct()
+    per = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("c"))
+    return documents.select("doc_id", F.lower("lang").alias("lang")).join(per, "doc_id").groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.sum("c").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages, p8_packed, p8_usage, p9_mix, p9_shares, p10_found, p10_counts)}
 
 _TOKENS = """
 WITH b AS (SELECT DISTINCT block_id, run_id, ngram, loc FROM space_t WHERE ngram IS NOT NULL AND len(loc) > 0 AND ngram_size = 1),
