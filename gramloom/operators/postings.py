@@ -79,6 +79,34 @@ def position_masks(blocks: DataFrame, keys: list[str], loc: str = "loc") -> Data
     return blocks.where(F.size(loc) > 0).select(*keys, loc).mapInArrow(lambda it, k=list(keys), s=kept: _masks(it, k, s), schema)
 
 
+def _positions(batches: Iterator[pa.RecordBatch], n: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        loc = batch.column(n)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(loc)))]).astype(np.int64)
+        row, doc, pos, _, _ = decode(np.asarray(pa.compute.fill_null(loc.flatten(), UNKNOWN)).astype(np.int64), offsets)
+        known = doc != -UNKNOWN - 1
+        take = pa.array(row[known])
+        cols = [*(batch.column(i).take(take) for i in range(n)), pa.array(doc[known].astype(np.int32)), pa.array(pos[known].astype(np.int32))]
+        yield from pa.Table.from_arrays(cols, schema=schema).to_batches(max_chunksize=50_000)
+
+
+def token_positions(blocks: DataFrame, keys: list[str], loc: str = "loc") -> DataFrame:
+    """Rows (keys, ``doc``, ``pos``): every position entry with its document. Blocks delivered twice repeat their rows."""
+    own = blocks.where(F.size(loc) > 0).select(*keys, loc)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + ", doc int, pos int"
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kept = pa.schema([*(pa.field(f.name, arrow[f.dataType.simpleString()]) for f in own.schema.fields[:-1]), pa.field("doc", pa.int32()), pa.field("pos", pa.int32())])
+    return own.mapInArrow(lambda it, n=len(keys), s=kept: _positions(it, n, s), schema)
+
+
+def documents_of(blocks: DataFrame) -> DataFrame:
+    """(run_id, doc, tokens) of the documents of each run, rebuilt from the occurrence lists of single tokens."""
+    one = blocks.where((F.col("ngram_size") == 1) & F.col("ngram").isNotNull() & F.col("run_id").isNotNull())
+    rows = token_positions(one, ["run_id", "ngram"])
+    order = F.array_sort(F.collect_set(F.struct("pos", "ngram")))
+    return rows.groupBy("run_id", "doc").agg(F.transform(order, lambda x: x["ngram"]).alias("tokens"))
+
+
 def lowest_bit(mask: Column) -> Column:
     """Number of the lowest bit set in a non-zero mask."""
     last = F.lit(-(2**63))
