@@ -300,7 +300,7 @@ def line_search_refine(spark: SparkSession, folder: str) -> DataFrame:
     top = _best(docs).first()
     if top is None:
         return spark.createDataFrame([], "step double")
-    step = linesearch.exact_step(cut(_marked(docs, _zero(docs))), top["gradient"], lambda s: 0.2 * abs(s) + 0.4 * s * s)
+    step = linesearch.exact_step(linesearch.Losses(_marked(docs, _zero(docs))), top["gradient"], lambda s: 0.2 * abs(s) + 0.4 * s * s)
     return spark.createDataFrame([(round(step, 6),)], "step double")
 
 
