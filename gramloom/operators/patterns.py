@@ -59,9 +59,9 @@ def ngrams(docs: DataFrame, size: int, maxgap: int = 0, keep: tuple[str, ...] =
     return rows.select(*keep, F.explode(F.array(*forms)).alias("pattern")) if len(forms) > 1 else rows.select(*keep, forms[0].alias("pattern"))
 
 
-def _trimmed(pattern: Column, maxgap: int, end: bool) -> Column:
-    """A pattern without the wildcards at its end or start."""
-    for _ in range(maxgap):
+def _trimmed(pattern: Column, times: int, end: bool) -> Column:
+    """A pattern without up to ``times`` wildcards at its end or start."""
+    for _ in range(times):
         n = F.size(pattern)
         if end:
             pattern = F.when(F.get(pattern, n - 1) == WILDCARD, F.slice(pattern, F.lit(1), n - 1)).otherwise(pattern)
@@ -84,7 +84,7 @@ def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int = 3, minsup: int
         rows = ngrams(docs, size, maxgap)
         if known is not None:
             for end in (True, False):
-                part = _trimmed(F.slice("pattern", 1 if end else 2, size - 1), maxgap, end)
+                part = _trimmed(F.slice("pattern", 1 if end else 2, size - 1), size - 1 if maxgap else 0, end)
                 rows = rows.withColumn("__part", part).join(known, "__part", "left_semi").select("doc_id", "pattern")
         pairs = rows.distinct()
         if minsup > 1:
