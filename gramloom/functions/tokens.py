@@ -34,7 +34,7 @@ def tokenised(docs: DataFrame, kind: str = "word") -> DataFrame:
     if kind == "char":
         return docs.withColumn("tokens", chars_no_space(text))
     bad = F.raise_error(F.concat(F.lit("white space inside a char sequence: "), F.left(text, F.lit(80)))).cast("array<string>")
-    return docs.withColumn("tokens", F.when(is_char_text(text), chars(text)).otherwise(bad))
+    return docs.withColumn("tokens", F.when(text.isNull(), F.lit(None)).when(is_char_text(text), chars(text)).otherwise(bad))
 
 
 def shown(pattern: Column, kind: str = "word") -> Column:

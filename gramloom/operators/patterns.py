@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gramloom.tables import cut
 
 WILDCARD = "*"
+#: Frequent patterns (some 60 bytes each) up to which they are broadcast; beyond, joins with them are shuffled.
+SMALL = 300_000
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -59,15 +61,19 @@ def ngrams(docs: DataFrame, size: int, maxgap: int = 0, keep: tuple[str, ...] =
     return rows.select(*keep, F.explode(F.array(*forms)).alias("pattern")) if len(forms) > 1 else rows.select(*keep, forms[0].alias("pattern"))
 
 
-def _trimmed(pattern: Column, times: int, end: bool) -> Column:
-    """A pattern without up to ``times`` wildcards at its end or start."""
-    for _ in range(times):
-        n = F.size(pattern)
-        if end:
-            pattern = F.when(F.get(pattern, n - 1) == WILDCARD, F.slice(pattern, F.lit(1), n - 1)).otherwise(pattern)
-        else:
-            pattern = F.when(F.get(pattern, F.lit(0)) == WILDCARD, F.slice(pattern, F.lit(2), n)).otherwise(pattern)
-    return pattern
+def _part(pattern: Column, size: int, end: bool, gapped: bool) -> Column:
+    """What is left of a pattern of ``size`` tokens without its last or first one, wildcards that then stand there dropped."""
+    if not gapped:
+        return F.slice(pattern, 1 if end else 2, size - 1)
+    slots = range(size - 2, -1, -1) if end else range(1, size)
+    cut_at = None
+    for i in slots:
+        kept = F.lit(i + 1)
+        here = F.get(pattern, F.lit(i)) != WILDCARD
+        cut_at = F.when(here, kept) if cut_at is None else cut_at.when(here, kept)
+    if end:
+        return F.slice(pattern, F.lit(1), cut_at.otherwise(F.lit(0)))
+    return F.slice(pattern, cut_at.otherwise(F.lit(size + 1)), F.lit(size))
 
 
 def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int = 3, minsup: int = 1, maxgap: int = 0) -> DataFrame:
@@ -75,21 +81,26 @@ def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int = 3, minsup: int
 
     Levels are grown one token at a time. With ``minsup`` above 1, a window enters a level only if what is left of it without its
     last token, and without its first, is frequent (wildcards that then stand at an end are dropped); as supports only shrink, nothing is
-    lost. The frequent patterns of each level are written to the shared folder, so no level computes the ones below again. ``minpat``
+    lost. The pairs and frequent patterns of each level are written to the shared folder, so no level computes the ones below again; frequent
+    patterns are counted, and up to ``SMALL`` of them are broadcast to the windows, which are then never shuffled whole. ``minpat``
     keeps short patterns out of the result but not out of growing.
     """
     levels: list[DataFrame] = []
     known: DataFrame | None = None
+    n_known = 0
     for size in range(1, maxpat + 1):
         rows = ngrams(docs, size, maxgap)
         if known is not None:
             for end in (True, False):
-                part = _trimmed(F.slice("pattern", 1 if end else 2, size - 1), size - 1 if maxgap else 0, end)
-                rows = rows.withColumn("__part", part).join(known, "__part", "left_semi").select("doc_id", "pattern")
+                part = _part(F.col("pattern"), size, end, maxgap > 0)
+                rows = rows.withColumn("__part", part).join(F.broadcast(known) if n_known <= SMALL else known, "__part", "left_semi").select("doc_id", "pattern")
         pairs = rows.distinct()
         if minsup > 1:
+            pairs = cut(pairs)
             frequent = cut(pairs.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= minsup).select("pattern"))
-            pairs = pairs.join(frequent, "pattern", "left_semi")
+            n = frequent.count()
+            n_known += n
+            pairs = pairs.join(F.broadcast(frequent) if n <= SMALL else frequent, "pattern", "left_semi")
             own = frequent.select(F.col("pattern").alias("__part"))
             # a part of nothing but wildcards says nothing against a pattern
             known = own.unionByName(docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("__part"))) if known is None else known.unionByName(own)
