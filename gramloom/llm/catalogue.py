@@ -178,7 +178,7 @@ SELECT DISTINCT least(p.doc_id, q.doc_id) AS doc_id_1, greatest(p.doc_id, q.doc_
 
 SQL["p7_found"] = """
 WITH t AS (SELECT DISTINCT doc_id, example_sequence AS s FROM toy WHERE doc_id IS NOT NULL AND length(example_sequence) >= 60),
-w AS (SELECT doc_id, CAST(i AS BIGINT) AS i, hash(substr(s, CAST(i + 1 AS BIGINT), 60)) AS h FROM t, range(0, length(s) - 59) r(i)),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS i, substr(s, CAST(i + 1 AS BIGINT), 60) AS h FROM t, range(0, length(s) - 59) r(i)),
 k AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
 o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 60 THEN 0 ELSE 1 END AS new FROM w WHERE h IN (SELECT h FROM k)),
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o)
