@@ -42,10 +42,20 @@ def update(ledger: DataFrame, batch: DataFrame, buckets: int = BUCKETS) -> DataF
 def fold(spark: SparkSession, records: DataFrame, cuts: list, buckets: int = BUCKETS) -> DataFrame:
     """The ledger of ``records`` (id, key, arrived) taken in as batches that end before each of ``cuts``, and one after the last.
 
-    Each state is written, bucketed, to the shared folder; a record without a time of arrival is in the first batch.
+    A batch reads and rewrites only the buckets it touches; the others stay in the version that wrote them last. All
+    versions lie in the shared folder. A record without a time of arrival is in the first batch.
     """
     folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    ledger = spark.createDataFrame([], LEDGER)
+    versions: dict[str, set[int]] = {}
+
+    def current(wanted: set[int] | None = None) -> DataFrame:
+        ledger = spark.createDataFrame([], LEDGER)
+        for path, own in versions.items():
+            some = own if wanted is None else own & wanted
+            if some:
+                ledger = ledger.unionByName(spark.read.schema(LEDGER).parquet(path).where(F.col("bucket").isin(*some)))
+        return ledger
+
     edges = [None, *cuts, None]
     for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         batch = records
@@ -53,11 +63,12 @@ def fold(spark: SparkSession, records: DataFrame, cuts: list, buckets: int = BUC
             batch = batch.where(F.col("arrived") >= F.lit(low))
         if high is not None:
             batch = batch.where((F.col("arrived") < F.lit(high)) | (F.col("arrived").isNull() if low is None else F.lit(False)))
-        elif low is None:
-            pass
-        update(ledger, batch, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{i}")
-        ledger = spark.read.schema(LEDGER).parquet(f"{folder}/{i}")
-    return ledger
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+        touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+        if touched:
+            update(current(touched), batch, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{i}")
+            versions = {path: own - touched for path, own in versions.items()} | {f"{folder}/{i}": touched}
+    return current()
 
 
 def batch_cuts(records: DataFrame, batches: int = 3) -> list:
