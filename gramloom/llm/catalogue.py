@@ -185,3 +185,16 @@ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM
 SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 60 AS INTEGER) AS span_end FROM g GROUP BY doc_id, g.g"""
 
 SQL["p1_support"] = SQL["p1_found"].replace("SELECT run_id, pattern FROM r", "SELECT run_id, pattern, support FROM r")
+
+SQL["p2_counts"] = (
+    "WITH found AS (" + SQL["p2_found"] + """),
+own AS (SELECT DISTINCT doc_id, split_name, source FROM toy WHERE split_name IN ('dev', 'test')),
+per AS (SELECT o.doc_id, o.split_name, o.source, count(*) AS n FROM found f JOIN own o ON o.doc_id = f.doc_id_1 OR o.doc_id = f.doc_id_2 GROUP BY ALL)
+SELECT split_name, source, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_pairs FROM per GROUP BY split_name, source"""
+)
+SQL["p7_share"] = (
+    "WITH found AS (" + SQL["p7_found"] + """),
+c AS (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS c FROM found GROUP BY doc_id),
+o AS (SELECT doc_id, CAST(max(coalesce(length(example_sequence), 0)) AS BIGINT) AS n_chars FROM toy WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(c, 0) AS shared_chars, coalesce(coalesce(c, 0) / nullif(n_chars, 0), 0.0::DOUBLE) AS shared_share FROM o LEFT JOIN c USING (doc_id)"""
+)
