@@ -3,11 +3,13 @@
 Texts that are equal in letters and digits form a class; one text per class is compared. Each text gets a similarity hash
 of 128 bits: bit j is the lowest bit of the j-th min-wise hash of its character grams, so that two texts differ in
 about half of (1 - resemblance) of the bits. The min-wise hashes also give 32 code blocks (four 8-bit codes each). Blocks
-are joined across splits, a pair whose bits lie within a Hamming radius is kept, and its edit distance is verified exactly.
+are joined across splits, apart by bands of text length so that a block that many texts share is cut up; a pair whose bits lie within a
+Hamming radius is kept, and its edit distance is verified exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +82,11 @@ def _side(split: str) -> F.Column:
     return F.when(F.col(split) == "train", "train").when(F.col(split).isin("dev", "test"), "eval")
 
 
+def _band(length: F.Column) -> F.Column:
+    """A number for lengths within half of one another; the lengths that a pair may have lie in two neighbouring bands."""
+    return F.floor(F.log(F.greatest(length, F.lit(0.0)) + 1) / math.log(1.5)).cast("bigint")
+
+
 def cross_split_pairs(records: DataFrame, share: float = 0.1) -> DataFrame:
     """(train_id, eval_id): all pairs whose texts are at most ``share`` of the longer length apart in edits.
 
@@ -94,9 +101,11 @@ def cross_split_pairs(records: DataFrame, share: float = 0.1) -> DataFrame:
     number = members.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max(F.when(F.col("side") == "train", 1).otherwise(0)).alias("in_train"), F.max(F.when(F.col("side") == "eval", 1).otherwise(0)).alias("in_eval"))
     classes = cut(own.select("doc_id", "text", "key").join(number, "key").where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "key", "text", "in_train", "in_eval"))
     prints = classes.select("class_id", "text").mapInArrow(_printed, _SQL)
-    rows = prints.join(classes.select("class_id", "in_train", "in_eval"), "class_id").select("class_id", "bits_1", "bits_2", "in_train", "in_eval", F.explode("blocks").alias("block"))
-    a = rows.where("in_train = 1").select("block", F.col("class_id").alias("t"), F.col("bits_1").alias("t1"), F.col("bits_2").alias("t2"))
-    b = rows.where("in_eval = 1").select("block", F.col("class_id").alias("e"), F.col("bits_1").alias("e1"), F.col("bits_2").alias("e2"))
+    rows = prints.join(classes.select("class_id", "in_train", "in_eval", F.length("text").alias("n")), "class_id")
+    a = rows.where("in_train = 1").select(F.explode("blocks").alias("block"), _band(F.col("n")).alias("band"), F.col("class_id").alias("t"), F.col("bits_1").alias("t1"), F.col("bits_2").alias("t2"))
+    near_bands = F.array_distinct(F.array(*(_band(x) for x in ((1 - share) * F.col("n") - 1, F.col("n"), F.col("n") / (1 - share) + 1))))
+    b = rows.where("in_eval = 1").withColumn("band", F.explode(near_bands)).select(F.explode("blocks").alias("block"), "band", F.col("class_id").alias("e"), F.col("bits_1").alias("e1"), F.col("bits_2").alias("e2"))
+    a, b = (x.withColumn("block", F.col("block") + F.col("band") * 2**40).drop("band") for x in (a, b))
     near = F.bit_count(F.col("t1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("e2"))) <= RADIUS
     pairs = a.join(b, "block").where((F.col("t") != F.col("e")) & near).select("t", "e").distinct()
     one, two = classes.select(F.col("class_id").alias("t"), F.col("text").alias("tt"), F.col("key").alias("tk")), classes.select(F.col("class_id").alias("e"), F.col("text").alias("et"), F.col("key").alias("ek"))
