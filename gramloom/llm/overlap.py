@@ -99,7 +99,10 @@ def cross_split_pairs(records: DataFrame, share: float = 0.1) -> DataFrame:
     members = cut(own.select("doc_id", "side", "key").dropDuplicates(["doc_id"]))
     # one text for each class and side, with the class's smallest id as its number
     number = members.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max(F.when(F.col("side") == "train", 1).otherwise(0)).alias("in_train"), F.max(F.when(F.col("side") == "eval", 1).otherwise(0)).alias("in_eval"))
-    classes = cut(own.select("doc_id", "text", "key").join(number, "key").where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "key", "text", "in_train", "in_eval"))
+    # by id, not by key: a text with many copies is moved once
+    number = number.withColumnRenamed("key", "class_key")
+    classes = own.select("doc_id", "text").join(number, F.col("doc_id") == F.col("class_id")).dropDuplicates(["class_id"])
+    classes = cut(classes.select("class_id", F.col("class_key").alias("key"), "text", "in_train", "in_eval"))
     prints = classes.select("class_id", "text").mapInArrow(_printed, _SQL)
     rows = prints.join(classes.select("class_id", "in_train", "in_eval", F.length("text").alias("n")), "class_id")
     a = rows.where("in_train = 1").select(F.explode("blocks").alias("block"), _band(F.col("n")).alias("band"), F.col("class_id").alias("t"), F.col("bits_1").alias("t1"), F.col("bits_2").alias("t2"))
