@@ -34,7 +34,7 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _learn(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None]) -> None:
-    params = Params(objective=a.o, minsup=a.m, minpat=a.l, maxpat=a.L, maxgap=a.g, breadth=a.r == 0, token=KINDS[a.n], maxitr=a.T, convergence=a.c, cost=a.C, alpha=a.a, compat=a.compat)
+    params = Params(objective=a.o, minsup=a.m, minpat=a.l, maxpat=a.L or None, maxgap=a.g, breadth=a.r == 0, token=KINDS[a.n], maxitr=a.T, convergence=a.c, cost=a.C, alpha=a.a, compat=a.compat)
     got = learn(_documents(spark, a.train_file), params)
     models.write_steps(got.steps_frame(spark, params.token), a.model_file)
     if a.v:
@@ -86,7 +86,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", type=int, default=0, choices=(0, 2), help="objective: 0 logistic, 2 squared hinge")
     p.add_argument("-m", type=int, default=1, help="least support")
     p.add_argument("-l", type=int, default=1, help="shortest pattern")
-    p.add_argument("-L", type=int, default=5, help="longest pattern")
+    p.add_argument("-L", type=int, default=5, help="longest pattern; 0: as long as the longest document")
     p.add_argument("-g", type=int, default=0, help="most wildcards in a row")
     p.add_argument("-r", type=int, default=0, choices=(0, 1), help="order of ties: 0 breadth first, 1 depth first")
     p.add_argument("-T", type=int, default=5000, help="most iterations")

@@ -76,16 +76,20 @@ def _part(pattern: Column, size: int, end: bool, gapped: bool) -> Column:
     return F.slice(pattern, cut_at.otherwise(F.lit(size + 1)), F.lit(size))
 
 
-def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int = 3, minsup: int = 1, maxgap: int = 0) -> DataFrame:
+def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int | None = 3, minsup: int = 1, maxgap: int = 0) -> DataFrame:
     """Distinct (pattern, size, doc_id) of the patterns with support of ``minsup`` or more.
 
     Levels are grown one token at a time. With ``minsup`` above 1, a window enters a level only if what is left of it without its
     last token, and without its first, is frequent (wildcards that then stand at an end are dropped); as supports only shrink, nothing is
     lost. The pairs and frequent patterns of each level are written to the shared folder, so no level computes the ones below again; frequent
     patterns are counted, and up to ``SMALL`` of them are broadcast to the windows, which are then never shuffled whole. ``minpat``
-    keeps short patterns out of the result but not out of growing.
+    keeps short patterns out of the result but not out of growing. Without ``maxpat``, levels grow up to the longest document, or until
+    no pattern is frequent.
     """
     levels: list[DataFrame] = []
+    if maxpat is None:
+        maxpat = max(minpat, docs.agg(F.max(F.size("tokens"))).first()[0] or 0)
+    barren = 0
     known: DataFrame | None = None
     n_known = 0
     for size in range(1, maxpat + 1):
@@ -104,8 +108,11 @@ def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int = 3, minsup: int
             own = frequent.select(F.col("pattern").alias("__part"))
             # a part of nothing but wildcards says nothing against a pattern
             known = own.unionByName(docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("__part"))) if known is None else known.unionByName(own)
+            barren = 0 if n else barren + 1
         if size >= minpat:
             levels.append(pairs.select("pattern", F.lit(size).alias("size"), "doc_id"))
+        if barren > maxgap and levels:
+            break  # wildcards bridge no more levels than this
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

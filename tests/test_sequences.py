@@ -67,3 +67,12 @@ def test_orders_and_empty(spark):
     none = spark.createDataFrame([], "doc_id int, tokens array<string>")
     assert patterns.pattern_docs(none, 1, 2, 2).count() == 0
     assert patterns.vocabulary(none).count() == 0
+
+
+def test_levels_grow_until_nothing_is_frequent(spark):
+    docs = [(i, list("abcde" if i < 3 else "xy")) for i in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id int, tokens array<string>")
+    for minsup, maxgap in ((1, 0), (3, 0), (3, 1)):
+        got = Counter(tuple(r["pattern"]) for r in patterns.pattern_docs(frame, 1, None, minsup, maxgap).collect())
+        assert got == {k: len(v) for k, v in brute(docs, 5, maxgap).items() if len(v) >= minsup}
+    assert patterns.pattern_docs(frame.limit(0), 1, None, 2).count() == 0
