@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from gramloom.llm.records import exchanged, letters_digits
 from gramloom.tables import cut
 
 HASHES, BLOCKS = 128, 32
-#: Characters in a gram; in texts shorter than ``SHORT`` two less.
+#: Characters in a gram; in texts shorter than ``SHORT`` two less. Texts that may have a partner on the other side are printed with both.
 GRAM, SHORT = 5, 48
 #: Bits of 128 in which a pair may differ: unrelated texts differ in 62 (deviation 5.6), those of 10 per cent edits in about 37 (5.1).
 RADIUS = 51
@@ -31,12 +32,16 @@ _SQL = "class_id bigint, blocks array<bigint>, bits_1 bigint, bits_2 bigint"
 _ARROW = pa.schema([("class_id", pa.int64()), ("blocks", pa.list_(pa.int64())), ("bits_1", pa.int64()), ("bits_2", pa.int64())])
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks, bits): 32 block codes and two words of bits per text. A text too short for a gram is its own single gram."""
+def fingerprints(texts: pa.Array, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, bits): 32 block codes and two words of bits per text. A text too short for a gram is its own single gram.
+
+    ``other`` takes the grams of the other side of ``SHORT``; such texts have at least ``GRAM`` characters.
+    """
     points, offsets = grams.code_points(texts)
     length = np.diff(offsets)
     out = np.empty((len(length), HASHES), np.uint64)
-    for k, chosen in ((GRAM, length >= SHORT), (GRAM - 2, (length < SHORT) & (length >= GRAM - 2)), (0, length < GRAM - 2)):
+    long = (length >= SHORT) != other
+    for k, chosen in ((GRAM, long), (GRAM - 2, ~long & (length >= GRAM - 2)), (0, ~long & (length < GRAM - 2))):
         rows = np.flatnonzero(chosen)
         if not len(rows):
             continue
@@ -69,13 +74,23 @@ def hash_short(points: np.ndarray) -> int:
     return int(sum((int(p) + 1) << (32 * i) for i, p in enumerate(points)))
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_short(lengths: np.ndarray, share: float) -> np.ndarray:
+    """Whether a text of this length can have a partner on the other side of ``SHORT``."""
+    # a character more on both sides, for rounding
+    return (lengths >= max((1 - share) * SHORT - 1, GRAM)) & ((1 - share) * lengths <= SHORT + 1)
+
+
+def _printed(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and one more with the other grams for those near ``SHORT``."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            blocks, bits = fingerprints(part.column(1))
-            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BLOCKS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel())), pa.array(bits[:, 0]), pa.array(bits[:, 1])], schema=_ARROW)
+            near = part.filter(pa.array(_near_short(np.asarray(pa.compute.utf8_length(part.column(1))), share)))
+            for rows, other in ((part, False), (near, True)):
+                if rows.num_rows:
+                    blocks, bits = fingerprints(rows.column(1), other)
+                    offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * BLOCKS)
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel())), pa.array(bits[:, 0]), pa.array(bits[:, 1])], schema=_ARROW)
 
 
 def _side(split: str) -> F.Column:
@@ -103,7 +118,7 @@ def cross_split_pairs(records: DataFrame, share: float = 0.1) -> DataFrame:
     number = number.withColumnRenamed("key", "class_key")
     classes = own.select("doc_id", "text").join(number, F.col("doc_id") == F.col("class_id")).dropDuplicates(["class_id"])
     classes = cut(classes.select("class_id", F.col("class_key").alias("key"), "text", "in_train", "in_eval"))
-    prints = classes.select("class_id", "text").mapInArrow(_printed, _SQL)
+    prints = classes.select("class_id", "text").mapInArrow(lambda it: _printed(it, share), _SQL)
     rows = prints.join(classes.select("class_id", "in_train", "in_eval", F.length("text").alias("n")), "class_id")
     a = rows.where("in_train = 1").select(F.explode("blocks").alias("block"), _band(F.col("n")).alias("band"), F.col("class_id").alias("t"), F.col("bits_1").alias("t1"), F.col("bits_2").alias("t2"))
     near_bands = F.array_distinct(F.array(*(_band(x) for x in ((1 - share) * F.col("n") - 1, F.col("n"), F.col("n") / (1 - share) + 1))))

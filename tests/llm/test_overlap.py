@@ -74,3 +74,20 @@ def test_bits_follow_resemblance():
     apart = [int(np.bitwise_count((bits[0] ^ bits[i]).view(np.uint64)).sum()) for i in range(4)]
     assert apart[3] == 0 and apart[1] < overlap.RADIUS < apart[2]
     assert (blocks[0] == blocks[3]).all() and (blocks[4] == blocks[5]).all() and not (blocks[4] == blocks[6]).any()
+
+
+def test_pairs_across_both_gram_sizes(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(90):
+        n = 44 + i % 9
+        text = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+        # characters put in or taken out, so that the partner lies on the other side of 48
+        at = sorted(rng.sample(range(n), 1 if n in (47, 48) else (48 - n if n < 48 else n - 47)))
+        other = "".join(c + "z" * (n < 48) if j in at else c for j, c in enumerate(text) if n < 48 or j not in at)
+        assert (len(text) < overlap.SHORT) != (len(other) < overlap.SHORT)
+        rows += [(2 * i, "1", text, "train", None), (2 * i + 1, "1", other, "dev", None)]
+        if distance(text, other) <= max(len(text), len(other)) // 10:
+            want.add((2 * i, 2 * i + 1))
+    got = pairs(spark, rows)
+    assert len(want) > 80 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.95 * len(want)
