@@ -91,3 +91,19 @@ def test_pairs_across_both_gram_sizes(spark):
             want.add((2 * i, 2 * i + 1))
     got = pairs(spark, rows)
     assert len(want) > 80 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.95 * len(want)
+
+
+def test_recall_up_to_ten_per_cent(spark):
+    rng = random.Random(21)
+    rows, want = [], set()
+    for i in range(360):
+        n = (20, 50, 60, 100, 200, 400)[i % 6]
+        text = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+        other = edited(rng, text, n // 10)
+        rows += [(2 * i, "1", text, "train", None), (2 * i + 1, "1", other, "test", None)]
+        if distance(text, other) <= max(n, len(other)) // 10:
+            want.add((2 * i, 2 * i + 1))
+    got = set(pairs(spark, rows))
+    assert len(want) > 350 and got <= want and len(got) >= 0.95 * len(want)
+    for k in range(6):
+        assert len({p for p in got if p[0] // 2 % 6 == k}) >= 0.9 * len({p for p in want if p[0] // 2 % 6 == k})
