@@ -317,23 +317,24 @@ def convergence_rate(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(linesearch.convergence(old, linesearch.after_step(_marked(docs, old), -0.1)))
 
 
-def _learned(spark: SparkSession, folder: str, kind: str, maxpat: int, minsup: int, maxitr: int = 3) -> learner.Learned:
-    return learner.learn(_docs(spark, folder, kind), learner.Params(token=kind, minsup=minsup, maxpat=maxpat, maxitr=maxitr))
+def _learned(spark: SparkSession, folder: str, kind: str) -> learner.Learned:
+    """Learned up to the stop tests, from patterns of any length; only ``MINSUP`` prunes."""
+    return learner.learn(_docs(spark, folder, kind), learner.Params(token=kind, minsup=MINSUP, maxpat=None))
 
 
 def learn_word(spark: SparkSession, folder: str) -> DataFrame:
-    """Three steps of the learner on words."""
-    return _rounded(_learned(spark, folder, "word", 3, MINSUP).steps_frame(spark, "word"))
+    """All steps of the learner on words."""
+    return _rounded(_learned(spark, folder, "word").steps_frame(spark, "word"))
 
 
 def learn_char(spark: SparkSession, folder: str) -> DataFrame:
-    """Three steps of the learner on characters."""
-    return _rounded(_learned(spark, folder, "char", 2, MINSUP).steps_frame(spark, "char"))
+    """All steps of the learner on characters."""
+    return _rounded(_learned(spark, folder, "char").steps_frame(spark, "char"))
 
 
 def learn_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The log of two iterations of the learner."""
-    return _rounded(_learned(spark, folder, "word", 2, MINSUP, 2).log_frame(spark))
+    """The log of all iterations of the learner on words."""
+    return _rounded(_learned(spark, folder, "word").log_frame(spark))
 
 
 # --- models ---------------------------------------------------------------------------------------------------------

@@ -126,3 +126,16 @@ def test_extreme_scores(spark):
     got = frame.select(loss(frame.y, frame.score).alias("l"), probability(frame.score).alias("p")).collect()
     assert [r["l"] for r in got] == [1e5, 0.0, 1e5] and [r["p"] for r in got] == [0.0, 1.0, 1.0]
     assert linesearch.total_loss(frame.limit(0)).first()["loss"] == 0.0
+
+
+def test_registered_learners_run_to_their_stop_tests(spark, monkeypatch):
+    from gramloom.operators import learner
+    from gramloom.plans import reference
+
+    seen = []
+    monkeypatch.setattr(reference, "_docs", lambda *a: None)
+    monkeypatch.setattr(reference.learner, "learn", lambda docs, params: seen.append(params) or learner.Learned([], []))
+    for query in (reference.learn_word, reference.learn_char, reference.learn_log):
+        query(spark, "")
+    assert [p.token for p in seen] == ["word", "char", "word"]
+    assert all((p.maxitr, p.convergence, p.maxpat) == (5000, 0.005, None) for p in seen)
