@@ -77,5 +77,9 @@ def predicted(scored: DataFrame) -> DataFrame:
 
 def prefixes_of(text_tokens: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, pattern): the model's patterns, without wildcards, that the tokens of a document start with."""
-    heads = text_tokens.where(F.size("tokens") > 0).select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("tokens"), F.lit(64))), lambda n: F.slice("tokens", F.lit(1), n))).alias("tokens"))
-    return heads.join(model.where(~F.array_contains("tokens", WILDCARD)).select("tokens", "pattern"), "tokens").select(*keys, "pattern").distinct()
+    plain = model.where(~F.array_contains("tokens", WILDCARD)).select("tokens", "pattern")
+    # one row, so that prefixes are built only of lengths that the model has
+    sizes = plain.agg(F.array_sort(F.collect_set(F.size("tokens"))).alias("sizes"))
+    lengths = F.filter("sizes", lambda n: (n > 0) & (n <= F.size("tokens")))
+    heads = text_tokens.crossJoin(F.broadcast(sizes)).select(*keys, F.explode(F.transform(lengths, lambda n: F.slice("tokens", F.lit(1), n))).alias("tokens"))
+    return heads.join(plain, "tokens").select(*keys, "pattern").distinct()

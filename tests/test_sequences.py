@@ -76,3 +76,12 @@ def test_levels_grow_until_nothing_is_frequent(spark):
         got = Counter(tuple(r["pattern"]) for r in patterns.pattern_docs(frame, 1, None, minsup, maxgap).collect())
         assert got == {k: len(v) for k, v in brute(docs, 5, maxgap).items() if len(v) >= minsup}
     assert patterns.pattern_docs(frame.limit(0), 1, None, 2).count() == 0
+
+
+def test_prefixes_of_any_length(spark):
+    from gramloom.operators import matcher
+
+    long = [str(i) for i in range(100)]
+    docs = spark.createDataFrame([(1, long), (2, long[:70]), (3, ["x"]), (4, [])], "doc_id long, tokens array<string>")
+    model = spark.createDataFrame([(long[:n], str(n)) for n in (1, 65, 80)] + [(["0", "*"], "w")], "tokens array<string>, pattern string")
+    assert sorted(tuple(r) for r in matcher.prefixes_of(docs, model).collect()) == [(1, "1"), (1, "65"), (1, "80"), (2, "1"), (2, "65")]
