@@ -55,8 +55,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per split and source of the evaluation record."""
-    records = table(spark, folder, "toy")
-    return overlap.overlap_counts(records, overlap.cross_split_pairs(records))
+    return overlap.overlap_counts(table(spark, folder, "toy"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +170,8 @@ WITH a AS (SELECT DISTINCT doc_id, class_label AS l, example_sequence AS s, CASE
 x AS (SELECT doc_id, side, lower(regexp_replace(CASE WHEN NOT li AND si THEN l ELSE s END, '[^\p{L}\p{Nd}]+', '', 'g')) AS t FROM a WHERE side IS NOT NULL),
 c AS (SELECT t, row_number() OVER (ORDER BY t) AS c, bool_or(side = 1) AS tr, bool_or(side = 2) AS ev FROM x WHERE t IS NOT NULL GROUP BY t),
 g AS (SELECT DISTINCT c, substr(t, CAST(i AS BIGINT), 6) AS g FROM c, range(1, greatest(2, length(t) - 4)) r(i)),
-j AS (SELECT a.c AS a, b.c AS b, count(*) AS n FROM g a JOIN g b USING (g) JOIN c ca ON ca.c = a.c AND ca.tr JOIN c cb ON cb.c = b.c AND cb.ev GROUP BY ALL),
+j AS (SELECT a.c AS a, b.c AS b, count(*) AS n FROM g a JOIN g b USING (g) JOIN c ca ON ca.c = a.c AND ca.tr JOIN c cb ON cb.c = b.c AND cb.ev GROUP BY ALL
+    UNION SELECT a.c, b.c, 100 AS n FROM c a JOIN c b ON a.tr AND b.ev AND length(a.t) BETWEEN 9 AND 20 AND length(b.t) BETWEEN 9 AND 20),
 v AS (SELECT j.a, j.b FROM j JOIN c x ON x.c = j.a JOIN c y ON y.c = j.b WHERE j.a = j.b OR (abs(length(x.t) - length(y.t)) <= floor(0.1 * greatest(length(x.t), length(y.t)) + 1e-9)
     AND n >= 0.1 * greatest(length(x.t), length(y.t)) AND levenshtein(x.t, y.t) <= floor(0.1 * greatest(length(x.t), length(y.t)) + 1e-9)))
 SELECT DISTINCT least(p.doc_id, q.doc_id) AS doc_id_1, greatest(p.doc_id, q.doc_id) AS doc_id_2 FROM v JOIN c x ON x.c = v.a JOIN c y ON y.c = v.b JOIN x p ON p.t = x.t AND p.side = 1 JOIN x q ON q.t = y.t AND q.side = 2"""
