@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,28 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+class Scratch:
+    """A folder in the shared one for tables that are written and read again, compressed and without any of their plan; it is removed when its work is done.
+
+    For loops that rewrite a state many times: plans of checkpoints keep what is known about their columns, which then grows with every round.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def stored(self, frame: DataFrame) -> DataFrame:
+        """The same rows from a table of their own."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Removes the folder; frames read from it are gone."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def once(frame: DataFrame, key: str) -> DataFrame:
     """Rows delivered twice count once: one row for each key; rows with a null key all stay.
 
