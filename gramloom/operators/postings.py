@@ -4,8 +4,8 @@ A list is an array of integers. A negative entry -(d+1) opens document d; the
 non-negative entries after it are token positions in d. Lists come cut into blocks, a document may open in several
 blocks and blocks may be delivered twice.
 
-All totals here rest on states that may be merged in any order and any number of times (bit
-masks, minimum, maximum). Repeated blocks therefore count once without a shuffle to find them.
+Documents are counted by states that may be merged in any order and any number of times (bit masks), so that repeated blocks count once. Sums of
+occurrences need the repeated blocks, which are found by their ids.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.tables import cut
+
+#: Repeated blocks (16 bytes each) up to which they are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Stands for a null entry of a list; no document has this number.
 UNKNOWN = -(2**31)
 
@@ -149,6 +153,44 @@ def key_totals(masks: DataFrame, keys: list[str], within: list[str]) -> DataFram
     )
 
 
+def _repeats(blocks: DataFrame) -> DataFrame:
+    """(block_id, copies) of blocks that were delivered more than once; a narrow aggregate over ids alone."""
+    return blocks.where(F.col("block_id").isNotNull()).groupBy("block_id").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def _positions_of(loc: Column) -> Column:
+    """(n, low, high): the positions of a list that belong to a document, as one pass over it where it has nulls or starts without an opening."""
+    whole = (F.get(loc, F.lit(0)) < 0) & ~F.exists(loc, lambda x: x.isNull())
+    top = F.array_max(loc)
+    plain = F.struct(F.size(F.filter(loc, lambda x: x >= 0)).cast("bigint").alias("n"), F.array_min(F.filter(loc, lambda x: x >= 0)).alias("low"), F.when(top >= 0, top).alias("high"))
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+
+    def step(s: Column, x: Column) -> Column:
+        counts = s["open"] & (x >= 0)
+        own = F.coalesce(counts, F.lit(False))
+        opened = F.when(x.isNull(), False).when(x < 0, True).otherwise(s["open"])
+        return F.struct(opened.alias("open"), (s["n"] + own.cast("bigint")).alias("n"), F.when(own, F.least(s["low"], x)).otherwise(s["low"]).alias("low"), F.when(own, F.greatest(s["high"], x)).otherwise(s["high"]).alias("high"))
+
+    folded = F.aggregate(loc, start, step, lambda s: F.struct(s["n"].alias("n"), s["low"].alias("low"), s["high"].alias("high")))
+    return F.when(F.coalesce(whole, F.lit(False)), plain).otherwise(folded)
+
+
+def block_totals(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: ``occurrences``, ``first_pos``, ``last_pos``, from sums, minima and maxima alone, which combine on the map side to a row for each key and task.
+
+    ``blocks`` has (block_id, keys, loc). Rows with the same block_id are one block delivered repeatedly; a null id is a block of its own. Repeats are found by
+    ids alone and, up to ``BROADCAST_ROWS`` of them, sent to the blocks. Null entries open an unknown document, and positions before the first opening belong to none: neither counts. Keys
+    without positions have 0 occurrences and null positions; null and empty lists give no rows.
+    """
+    own = blocks.where(F.size("loc") > 0)
+    repeats = cut(_repeats(own))
+    narrow = own.select("block_id", *keys, _positions_of(F.col("loc")).alias("p")).select("block_id", *keys, "p.*")
+    marked = narrow.join(F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats, "block_id", "left")
+    # copies of a block agree, so that their sum is a multiple
+    sums = marked.groupBy(*keys, F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return sums.groupBy(*keys).agg(F.sum(F.expr("n div copies")).alias("occurrences"), F.min("low").cast("bigint").alias("first_pos"), F.max("high").cast("bigint").alias("last_pos"))
+
+
 def heavy_keys(totals: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The keys that own at least ``share`` of all occurrences. The total is one row, so it may be broadcast."""
     whole = totals.agg(F.sum("occurrences").alias("__all"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.operators import postings, rowcheck
-from gramloom.tables import table
+from gramloom.tables import cut, table
 
 #: A key is heavy from this share of all positions on.
 HEAVY = 0.03
@@ -29,20 +29,19 @@ def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return failed.groupBy("token_type", "reason").agg(F.count("*").alias("n_lines"))
 
 
-def _totals(blocks: DataFrame) -> DataFrame:
-    masks = postings.position_masks(blocks, ["ngram", "run_id"])
-    return postings.key_totals(masks, ["ngram"], ["run_id"])
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Single tokens that own at least 3 per cent of all positions."""
     blocks = table(spark, folder, "space_t").where((F.col("ngram_size") == 1) & F.col("ngram").isNotNull())
-    return postings.heavy_keys(_totals(blocks), ["ngram"], HEAVY).select("ngram")
+    return postings.heavy_keys(cut(postings.block_totals(blocks, ["ngram"])), ["ngram"], HEAVY).select("ngram")
 
 
 def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences, documents, first and last position per n-gram of any size."""
-    return _totals(table(spark, folder, "space_t").where(F.col("ngram").isNotNull()))
+    blocks = table(spark, folder, "space_t").where(F.col("ngram").isNotNull())
+    # documents are numbered inside each run
+    documents = postings.document_masks(blocks.where(F.size("loc") > 0), ["ngram", "run_id"]).groupBy("ngram").agg(F.sum(F.bit_count("docs")).cast("bigint").alias("documents"))
+    totals = postings.block_totals(blocks, ["ngram"])
+    return documents.join(totals, "ngram").select("ngram", "occurrences", "documents", "first_pos", "last_pos")
 
 
 def p6_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,6 +39,23 @@ def test_totals_match_brute_force(spark):
     assert got == {k: (len(v), len(docs[k]), min(p for *_, p in v), max(p for *_, p in v)) for k, v in truth.items()}
 
 
+def test_algebraic_totals_match_brute_force(spark, monkeypatch):
+    rows, truth, _ = blocks_of(4)
+    want = {k: (len(v), min(p for *_, p in v), max(p for *_, p in v)) for k, v in truth.items()}
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(postings, "BROADCAST_ROWS", limit)
+        assert {r["ngram"]: tuple(r)[1:] for r in postings.block_totals(spark.createDataFrame(rows, SCHEMA), ["ngram"]).collect()} == want
+
+
+def test_algebraic_totals_of_odd_lists(spark):
+    frame = spark.createDataFrame(
+        [(1, 1, "a", 1, None), (2, 1, "a", 1, []), (3, 1, "a", 1, [5, -2, 7]), (4, 1, "a", 1, [None, 9, -3, 1]), (4, 1, "a", 1, [None, 9, -3, 1]), (5, 1, None, 1, [-1, 1]), (6, 1, "c", 1, [-5]), (None, 1, "d", 1, [-1, 4]), (None, 1, "d", 1, [-2, 6, None, 3])], SCHEMA
+    )
+    got = {r["ngram"]: tuple(r)[1:] for r in postings.block_totals(frame, ["ngram"]).collect()}
+    assert got == {"a": (2, 1, 7), None: (1, 1, 1), "c": (0, None, None), "d": (2, 4, 6)}
+    assert postings.block_totals(spark.createDataFrame([], SCHEMA), ["ngram"]).count() == 0
+
+
 def test_positions_at_word_edges(spark):
     frame = spark.createDataFrame([(1, 1, "a", 1, [-1, 63]), (2, 1, "b", 1, [-1, 0, 64, 127, 128]), (3, 1, "c", 1, [-5])], SCHEMA)
     got = {r["ngram"]: tuple(r)[1:] for r in postings.key_totals(postings.position_masks(frame, ["ngram", "run_id"]), ["ngram"], ["run_id"]).collect()}
