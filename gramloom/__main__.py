@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +23,27 @@ from gramloom.functions.tokens import tokenised
 from gramloom.operators import evaluate, matcher, model
 from gramloom.operators.learner import Params, learn
 from gramloom.sources import models, sequences
+from gramloom.tables import cut, shared_folder
 
 KINDS = {0: "word", 1: "char"}
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, y, text) of a file of labelled lines; ``-`` is standard input. Ids are fixed by a write to the shared folder."""
-    from gramloom.tables import cut
-
-    lines = sequences.lines_of(spark, sys.stdin.read().split("\n")) if path == "-" else sequences.read_lines(spark, path)
-    return cut(sequences.parse_labelled(lines).select(F.monotonically_increasing_id().alias("doc_id"), "y", "text"))
+    """(doc_id, y, text) of a file of labelled lines; ``-`` is standard input, which is written to the shared folder as it comes in. Ids are fixed by a write there, too."""
+    if path == "-":
+        lines = sequences.stored_lines(spark, sys.stdin, f"{shared_folder(spark)}/input-{uuid.uuid4().hex}")
+        return sequences.parse_labelled(lines).select(F.col("line_no").alias("doc_id"), "y", "text")
+    return cut(sequences.parse_labelled(sequences.read_lines(spark, path)).select(F.monotonically_increasing_id().alias("doc_id"), "y", "text"))
 
 
 def _learn(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None]) -> None:
     params = Params(objective=a.o, minsup=a.m, minpat=a.l, maxpat=a.L or None, maxgap=a.g, breadth=a.r == 0, token=KINDS[a.n], maxitr=a.T, convergence=a.c, cost=a.C, alpha=a.a, compat=a.compat)
     got = learn(_documents(spark, a.train_file), params)
     models.write_steps(got.steps_frame(spark, params.token), a.model_file)
-    if a.v:
+    if a.v > 1:
+        out(f"parameters: {params}")
         for x in got.log:
-            out(f"{x['iteration']} {x['n_features']} {x['delta']:.12f} {x['pattern']} loss {x['loss']:.6f}")
+            out(f"{x['iteration']} {x['n_features']} {x['grown']}/{x['pruned']}/{x['total']} {x['delta']:.12f} {x['pattern']} loss {x['loss']:.6f}")
     out(f"steps: {len(got.steps)}")
 
 
@@ -47,7 +51,9 @@ def _mkmodel(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], No
     steps = models.read_steps(spark, a.i)
     made = model.make_model(steps, separator=" " if KINDS[a.n] == "word" else "")
     models.write_model(made, a.o)
-    bias = model.bias(steps).first()["bias"]
+    row = model.bias(steps).first()
+    bias = row["bias"] if row is not None else None
+    models.write_bias(spark, bias, a.o)
     if a.O:
         models.predictor_lines(made, bias if bias is not None else 0.0).coalesce(1).write.mode("overwrite").text(a.O)
     norms = model.norms(steps).first()
@@ -60,20 +66,26 @@ def _scored(spark: SparkSession, a: argparse.Namespace, path: str, threshold: fl
     return docs.select("doc_id", "y", "text").join(matcher.scores(docs, found, threshold=threshold), "doc_id"), found
 
 
+def _show(spark: SparkSession, a: argparse.Namespace, scored: DataFrame, found: DataFrame, level: int, by_weight: bool, out: Callable[[str], None]) -> None:
+    """Prints the documents, a partition at a time."""
+    if level:
+        rules = matcher.rules_of(found, by_weight=by_weight).join(matcher.sparse(found), "doc_id")
+        lines = models.score_lines(scored.join(rules, "doc_id", "left"), level, models.read_bias(spark, a.model))
+        for row in lines.orderBy("doc_id").toLocalIterator():
+            out(row["value"])
+
+
 def _classify(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None]) -> None:
     scored, found = _scored(spark, a, a.test_file, a.t)
-    if a.v:
-        rules = matcher.explained(found).join(matcher.sparse(found), "doc_id")
-        lines = models.score_lines(scored.join(rules, "doc_id", "left").orderBy("doc_id"), a.v)
-        for row in lines.toLocalIterator():
-            out(row["value"])
+    _show(spark, a, scored, found, a.v, False, out)
     r = evaluate.report(scored).first()
     for name in ("accuracy", "error", "balanced_error", "precision", "recall", "f1", "specificity", "sensitivity", "fss", "auc", "auc50", "tp", "fp", "fn", "tn", "oov_docs"):
         out(f"{name}: {r[name]}")
 
 
 def _tune(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None]) -> None:
-    scored, _ = _scored(spark, a, a.train_file, 0.0)
+    scored, found = _scored(spark, a, a.train_file, 0.0)
+    _show(spark, a, scored, found, min(a.v, 3) + (a.v > 2), True, out)
     for name, value in evaluate.tune_report(scored).first().asDict().items():
         out(f"{name}: {value}")
 
@@ -86,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", type=int, default=0, choices=(0, 2), help="objective: 0 logistic, 2 squared hinge")
     p.add_argument("-m", type=int, default=1, help="least support")
     p.add_argument("-l", type=int, default=1, help="shortest pattern")
-    p.add_argument("-L", type=int, default=5, help="longest pattern; 0: as long as the longest document")
+    p.add_argument("-L", type=int, default=0, help="longest pattern; 0: any length")
     p.add_argument("-g", type=int, default=0, help="most wildcards in a row")
     p.add_argument("-r", type=int, default=0, choices=(0, 1), help="order of ties: 0 breadth first, 1 depth first")
     p.add_argument("-T", type=int, default=5000, help="most iterations")
@@ -94,7 +106,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", type=float, default=0.005, help="convergence threshold")
     p.add_argument("-C", type=float, default=1.0, help="weight of the penalty")
     p.add_argument("-a", type=float, default=0.2, help="share of L1 in the penalty")
-    p.add_argument("-v", type=int, default=1, help="0 nothing but the number of steps")
+    p.add_argument("-v", type=int, default=1, help="2 and more: parameters and a line for each iteration")
     p.add_argument("--compat", action="store_true", help="steps as recorded models have them")
     p.add_argument("train_file")
     p.add_argument("model_file")
@@ -114,6 +126,7 @@ def parser() -> argparse.ArgumentParser:
     p.set_defaults(run=_classify)
     p = sub.add_parser("tune", help="the threshold of fewest errors")
     p.add_argument("-n", type=int, default=1, choices=(0, 1))
+    p.add_argument("-v", type=int, default=0, help="1 scores, 2 with the text, 3 and more with the rules")
     p.add_argument("train_file")
     p.add_argument("model")
     p.set_defaults(run=_tune)
@@ -121,9 +134,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(args: list[str], spark: SparkSession | None = None, out: Callable[[str], None] = print) -> None:
-    """Runs one program."""
-    a = parser().parse_args(args)
+    """Runs one program and reports its time on the error stream."""
+    a, began = parser().parse_args(args), time.monotonic()
     a.run(spark or SparkSession.builder.getOrCreate(), a, out)
+    print(f"total time: {time.monotonic() - began:.1f} seconds", file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -1 +1 @@
-"""Column expressions: tokenisers, losses, Poisson and bit helpers."""
+"""Column expressions: tokenisers and losses."""

@@ -64,6 +64,13 @@ def explained(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), by_weight:
     return found.groupBy(*keys).agg(F.array_join(rules, "; ").alias("rules"))
 
 
+def rules_of(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), by_weight: bool = False) -> DataFrame:
+    """(keys, rules): (pattern, weight) of the matched patterns, by name or by falling weight."""
+    item = F.struct((-F.col("weight")).alias("w"), "pattern", "weight") if by_weight else F.struct("pattern", "weight")
+    rules = F.transform(F.array_sort(F.collect_list(item)), lambda r: F.struct(r["pattern"].alias("pattern"), r["weight"].alias("weight")))
+    return found.groupBy(*keys).agg(rules.alias("rules"))
+
+
 def sparse(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, features): ``id:1.0`` of the matched patterns, ids counted from 1, in order."""
     ids = F.array_sort(F.collect_set(F.col("feature_id") + 1))

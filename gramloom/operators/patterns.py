@@ -124,6 +124,16 @@ def supports(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pattern", "size").agg(F.count("*").alias("support"))
 
 
+def ranked(frame: DataFrame) -> DataFrame:
+    """All patterns with their ``rank``, from 1 on, in a depth-first search (by tokens, prefixes first). Ranges of patterns are numbered apart; no task holds all."""
+    rows = cut(frame.repartitionByRange("pattern").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("pattern"))
+    return rows.join(F.broadcast(starts), "__part").withColumn("rank", (F.col("start") + own).cast("bigint")).drop("__part", "start")
+
+
 def first_visited(frame: DataFrame, n: int, breadth: bool = True) -> DataFrame:
     """The first ``n`` patterns that a search visits, with their ``rank`` from 1 on: breadth first (size, then tokens) or depth first (tokens, prefixes first).
 

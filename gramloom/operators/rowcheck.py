@@ -11,7 +11,7 @@ a word form. All patterns are linear (no nested repeats), so very long lines are
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ class Step:
 
 @dataclass(frozen=True)
 class RowSchema:
-    """A line format. ``whole`` matches valid rows; ``steps`` are tried in order on the others."""
+    """A line format. ``whole`` matches valid rows; ``prefixes`` are tried in order on the others."""
 
     name: str
     label: str
@@ -38,7 +38,6 @@ class RowSchema:
     quoting: str
     shape: str
     labels: str = r"(?:\+1|1|-1)"
-    steps: tuple[Step, ...] = field(default=())
 
     @property
     def whole(self) -> str:

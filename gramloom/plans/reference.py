@@ -202,9 +202,9 @@ def ngram_gapped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ngram_dfs_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 200 frequent patterns in the order of a depth-first search."""
+    """All frequent patterns in the order of a depth-first search."""
     counted = _pairs(_docs(spark, folder)).groupBy("pattern", "size").agg(F.count("*").alias("support"))
-    return patterns.first_visited(counted, 200, breadth=False).select("rank", shown(F.col("pattern")).alias("pattern"), "size", "support")
+    return patterns.ranked(counted).select("rank", shown(F.col("pattern")).alias("pattern"), "size", "support")
 
 
 # --- gradients ------------------------------------------------------------------------------------------------------

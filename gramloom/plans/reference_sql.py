@@ -10,8 +10,8 @@ s AS (SELECT line_id, value, regexp_extract(value, '^([^\t ]*)', 1) AS class_lab
 
 _DOCS = r"""
 WITH d AS (SELECT DISTINCT doc_id, split_name, source, token_type,
-    CASE WHEN TRY_CAST(regexp_extract(class_label, '^\s*([+-]?[0-9]{1,9})\s*$', 1) AS INTEGER) > 0 THEN 1 ELSE -1 END AS y, example_sequence AS text
-  FROM toy WHERE doc_id IS NOT NULL AND example_sequence IS NOT NULL AND regexp_matches(class_label, '^\s*[+-]?[0-9]{1,9}\s*$'))
+    CASE WHEN TRY_CAST(regexp_extract(class_label, '^\s*([+-]?[0-9]+)\s*$', 1) AS HUGEINT) > 0 THEN 1 ELSE -1 END AS y, example_sequence AS text
+  FROM toy WHERE doc_id IS NOT NULL AND example_sequence IS NOT NULL AND regexp_matches(class_label, '^\s*[+-]?[0-9]+\s*$'))
 """
 
 _WORDS = _DOCS + r""",
@@ -134,7 +134,7 @@ SQL = {
     "ngram_frequent": _support("1, 2, 3"),
     "ngram_len_window": _support("2, 3"),
     "ngram_gapped": _GAPPED,
-    "ngram_dfs_order": _GRAMS + "SELECT row_number() OVER (ORDER BY string_split(pattern, ' ')) AS rank, pattern, CAST(size AS INTEGER) AS size, support FROM f ORDER BY rank LIMIT 200",
+    "ngram_dfs_order": _GRAMS + "SELECT row_number() OVER (ORDER BY string_split(pattern, ' ')) AS rank, pattern, CAST(size AS INTEGER) AS size, support FROM f",
     "grad_logistic": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, round(lg, 6) AS gradient FROM q",
     "grad_sqhinge": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, round(sg, 6) AS gradient FROM q",
     "grad_bounds": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, support, round(upos, 6) AS upos, round(uneg, 6) AS uneg FROM q",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gramloom.sources.sequences import split_first
@@ -33,12 +34,37 @@ def write_model(model: DataFrame, path: str) -> None:
     model.write.mode("overwrite").parquet(path)
 
 
+def write_bias(spark: SparkSession, bias: float | None, path: str) -> None:
+    """The bias of a model, beside it."""
+    spark.createDataFrame([(bias,)], "bias double").coalesce(1).write.mode("overwrite").parquet(f"{path}/_bias")
+
+
+def read_bias(spark: SparkSession, path: str) -> float:
+    """The bias written beside a model; 0 where there is none."""
+    try:
+        return spark.read.schema("bias double").parquet(f"{path}/_bias").first()["bias"] or 0.0
+    except AnalysisException:
+        return 0.0
+
+
 def read_model(spark: SparkSession, path: str) -> DataFrame:
     """A model written by :func:`write_model`."""
     return spark.read.parquet(path)
 
 
-def score_lines(scored: DataFrame, verbosity: int = 1) -> DataFrame:
-    """Lines per document: 1 ``y score prob``; 2 with the text; 3 and 4 with the rules (``rules``); 5 ``y`` and feature ids (``features``)."""
-    parts = {1: ["y", "score", "prob"], 2: ["y", "score", "prob", "text"], 3: ["y", "score", "prob", "rules"], 4: ["y", "score", "prob", "rules"], 5: ["y", "features"]}[verbosity]
-    return scored.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in parts)).alias("value"))
+def score_lines(scored: DataFrame, verbosity: int = 1, bias: float = 0.0) -> DataFrame:
+    """Lines (doc_id, value) per document, which for 4 have line breaks.
+
+    1 ``y score prob``; 2 with the text; 3 a message for documents without a match, no others; 4 a block of the line with the text, the bias and the
+    rules (``rules``: (pattern, weight) in order), a line each; 5 ``y`` and the ids of the matched patterns (``features``).
+    """
+    line = [F.col("y").cast("string"), F.col("score").cast("string"), F.col("prob").cast("string")]
+    if verbosity == 3:
+        return scored.where("n_matched = 0").select("doc_id", F.lit("Test doc out of vocabulary").alias("value"))
+    if verbosity == 4:
+        rules = F.transform(F.coalesce("rules", F.array().cast("array<struct<pattern: string, weight: double>>")), lambda r: F.concat_ws(" ", F.lit("rule:"), r["pattern"], r["weight"].cast("string")))
+        # the label of the bias row is a fixed value
+        block = F.concat(F.array(F.lit("<instance>"), F.concat_ws(" ", *line, "text"), F.lit(f"rule: {bias!r} __DFAULT__")), rules, F.array(F.lit("</instance>")))
+        return scored.select("doc_id", F.array_join(block, "\n").alias("value"))
+    parts = {1: line, 2: [*line, "text"], 5: [line[0], "features"]}[verbosity]
+    return scored.select("doc_id", F.concat_ws(" ", *parts).alias("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def stored_lines(spark: SparkSession, lines: Iterable[str], path: str, at_once: int = 100_000) -> DataFrame:
+    """(line_no, value) of a stream of lines, written to ``path`` a bounded number at a time."""
+    schema, n, left = "line_no bigint, value string", 0, iter(lines)
+    while True:
+        part = [(n + i, x.rstrip("\n")) for i, x in enumerate(islice(left, at_once))]
+        if part or not n:
+            spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+        n += len(part)
+        if len(part) < at_once:
+            return spark.read.schema(schema).parquet(path)
+
+
 def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
     """Lines that a program already holds (from its standard input, say) as ``value``."""
     return spark.createDataFrame([(x,) for x in lines], "value string")
@@ -28,9 +43,9 @@ def split_first(value: Column) -> tuple[Column, Column]:
     return parts.getItem(0), F.get(parts, F.lit(1))
 
 
-def leading_int(label: Column) -> Column:
-    """The number a label starts with, after white space; 0 where it starts with none (null for null)."""
-    return F.when(label.isNotNull(), F.coalesce(F.regexp_extract(label, r"^\s*([+-]?\d{1,9})", 1).try_cast("int"), F.lit(0)))
+def starts_positive(label: Column) -> Column:
+    """Whether the number that a label starts with, after white space, is above 0, of however many digits; false where it starts with none (null for null)."""
+    return label.rlike(r"^\s*\+?0*[1-9]")
 
 
 def parse_labelled(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -40,7 +55,7 @@ def parse_labelled(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     label, text = split_first(F.col(value))
     out = record_lines(lines, value).withColumns({"class_label": label, "text": text}).where(F.col("text").isNotNull())
-    return out.withColumn("y", F.when(leading_int(F.col("class_label")) > 0, 1).otherwise(-1))
+    return out.withColumn("y", F.when(starts_positive(F.col("class_label")), 1).otherwise(-1))
 
 
 def labelled_docs(table: DataFrame, token_type: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -48,11 +63,10 @@ def labelled_docs(table: DataFrame, token_type: str | None = None, key: str = "d
 
     Rows with a null id, another label or a null text are left out; 0 counts as negative.
     """
-    number = F.regexp_extract("class_label", r"^\s*([+-]?[0-9]{1,9})\s*$", 1)
-    rows = table.where(F.col(key).isNotNull() & F.col("example_sequence").isNotNull() & (number != ""))
+    rows = table.where(F.col(key).isNotNull() & F.col("example_sequence").isNotNull() & F.col("class_label").rlike(r"^\s*[+-]?[0-9]+\s*$"))
     if token_type is not None:
         rows = rows.where(F.col("token_type") == token_type)
-    y = F.when(number.try_cast("int") > 0, 1).otherwise(-1)
+    y = F.when(starts_positive(F.col("class_label")), 1).otherwise(-1)
     return rows.select(F.col(key).alias("doc_id"), "split_name", "source", "token_type", y.alias("y"), F.col("example_sequence").alias("text")).dropDuplicates(["doc_id"])
 
 

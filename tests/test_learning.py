@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from gramloom.functions.losses import loss, probability
-from gramloom.operators import gradient, linesearch, matcher, model
+from gramloom import tables
+from gramloom.operators import gradient, learner, linesearch, matcher, model
 from gramloom.operators.learner import Params, learn
 from gramloom.operators.patterns import pattern_docs
 from gramloom.sources import models
@@ -28,6 +29,40 @@ def test_recorded_steps(spark):
     assert [("".join(p), round(d, 12)) for _, d, p in got.steps] == STEPS
 
 
+@pytest.mark.parametrize("case", [{}, {"maxgap": 1, "minsup": 2}, {"minpat": 2, "breadth": False}, {"maxpat": 3, "maxgap": 2, "minsup": 2, "objective": 2}])
+def test_search_finds_the_best_of_all_patterns(spark, case, monkeypatch):
+    rng = np.random.default_rng(len(case))
+    params = Params(token="word", **case)
+    rows = [(int(i), int(rng.choice([-1, 1])), [str(t) for t in rng.choice(list("abcd"), size=rng.integers(0, 8))]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, y int, tokens array<string>")
+    monkeypatch.setattr(learner, "HELD", 4)
+    scratch = tables.Scratch(spark)
+    tree = learner.Tree(docs.select("doc_id", "tokens"), params, scratch)
+    every = pattern_docs(docs, 1, params.maxpat or 8, params.minsup, params.maxgap).cache()
+    for i, coef in enumerate(({}, {("a", "b"): 0.7}, {("a", "b"): 0.7, ("c",): -0.4, ("b", "d", "a"): 0.2})):
+        state = spark.createDataFrame([(d, y, float(s)) for (d, y, _), s in zip(rows, rng.normal(size=30) * i)], "doc_id long, y int, score double")
+        grads = gradient.gradients(every, state, params.objective)
+        if coef:
+            grads = gradient.regularised(grads, spark.createDataFrame([(list(k), v) for k, v in coef.items()], "pattern array<string>, beta double"))
+        want = gradient.best(grads, params.minpat, params.breadth).first()
+        top, total, leaves, grown = learner.search(tree, state, coef, True)
+        assert list(top["pattern"]) == list(want["pattern"]) and abs(top["gradient"] - want["gradient"]) < 1e-9
+        assert leaves <= total <= every.select("pattern").distinct().count()
+    scratch.remove()
+    every.unpersist()
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    scratch = tables.Scratch(spark)
+    assert scratch.stored(spark.range(3)).count() == 3
+    folder = scratch.folder.removeprefix("file://")
+    assert os.path.isdir(folder)
+    scratch.remove()
+    assert not os.path.exists(folder)
+
+
 def test_exact_steps_stand_still(spark):
     got = learn(docs(spark), Params(maxpat=4, maxitr=2))
     assert got.steps[0][2] == ("a",)

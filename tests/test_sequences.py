@@ -9,17 +9,17 @@ from gramloom.sources import sequences
 
 
 def test_lines_to_documents(spark):
-    lines = ["+1 ab \r", ";c", "", "-1\ta b", "nolabel", " x", "0 q", "+2x r"]
+    lines = ["+1 ab \r", ";c", "", "-1\ta b", "nolabel", " x", "0 q", "+2x r", "+0012345678901234567890 s", "-12345678901 t"]
     got = [tuple(r) for r in sequences.parse_labelled(sequences.lines_of(spark, lines)).select("class_label", "y", "text").collect()]
-    assert got == [("+1", 1, "ab "), ("-1", -1, "a b"), ("", -1, "x"), ("0", -1, "q"), ("+2x", 1, "r")]
+    assert got == [("+1", 1, "ab "), ("-1", -1, "a b"), ("", -1, "x"), ("0", -1, "q"), ("+2x", 1, "r"), ("+0012345678901234567890", 1, "s"), ("-12345678901", -1, "t")]
 
 
 def test_table_of_documents(spark):
     schema = "doc_id long, class_label string, example_sequence string, split_name string, source string, token_type string"
-    rows = [(1, " +1\t", "a", "train", None, "word"), (1, " +1\t", "a", "train", None, "word"), (2, "x", "a", None, None, "word"), (3, None, "a", None, None, "word"), (4, "0", None, None, None, "word"), (None, "1", "a", None, None, "word"), (5, "0", "", "dev", "s", "char")]
+    rows = [(1, " +1\t", "a", "train", None, "word"), (1, " +1\t", "a", "train", None, "word"), (2, "x", "a", None, None, "word"), (3, None, "a", None, None, "word"), (4, "0", None, None, None, "word"), (None, "1", "a", None, None, "word"), (5, "0", "", "dev", "s", "char"), (6, "00012345678901", "a", None, None, "word")]
     docs = sequences.labelled_docs(spark.createDataFrame(rows, schema))
-    assert sorted((r["doc_id"], r["y"]) for r in docs.collect()) == [(1, 1), (5, -1)]
-    assert sequences.class_counts(docs).collect() == [(2, 1, 1)]
+    assert sorted((r["doc_id"], r["y"]) for r in docs.collect()) == [(1, 1), (5, -1), (6, 1)]
+    assert sequences.class_counts(docs).collect() == [(3, 2, 1)]
 
 
 def test_tokenisers(spark):
@@ -54,6 +54,13 @@ def test_levels_match_brute_force(spark, maxgap, minsup):
     assert got == want
 
 
+def test_ranks_go_through_all_ranges(spark):
+    rng = random.Random(5)
+    every = sorted({tuple(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(300)})
+    frame = spark.createDataFrame([(list(p), i) for i, p in enumerate(rng.sample(every, len(every)))], "pattern array<string>, support int").repartition(5)
+    assert {tuple(r["pattern"]): r["rank"] for r in patterns.ranked(frame).collect()} == {p: i + 1 for i, p in enumerate(every)}
+
+
 def test_masks_limit_runs():
     assert patterns.masks(1, 3) == [(0,)]
     assert patterns.masks(4, 1) == [(0, 0, 0, 0), (0, 0, 1, 0), (0, 1, 0, 0)]
