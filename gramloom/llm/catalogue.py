@@ -86,6 +86,13 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return packing.usage(p8_packed(spark, folder), containers)
 
 
+def p8_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packing."""
+    sized = cut(with_tokens(spark, table(spark, folder, "documents").select("doc_id", "text")))
+    containers = table(spark, folder, "containers")
+    return packing.checked(cut(packing.pack_documents(sized, containers)), sized, containers)
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sized = cut(with_tokens(spark, table(spark, folder, "documents").select("doc_id", "source", "text")))
     targets = table(spark, folder, "mix_targets")
@@ -102,6 +109,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
+def p9_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the mix."""
+    return mixing.checked(*_mixed(spark, folder))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document."""
     return sentences.sentences(spark, table(spark, folder, "documents")).distinct()
@@ -115,7 +127,7 @@ def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", F.lower("lang").alias("lang")).join(per, "doc_id").groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.sum("c").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages, p8_packed, p8_usage, p9_mix, p9_shares, p10_found, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_tokens, p4_rules, p5_found, p5_counts, p2_found, p2_counts, p7_found, p7_share, p7_passages, p8_packed, p8_usage, p8_valid, p9_mix, p9_shares, p9_valid, p10_found, p10_counts)}
 
 _TOKENS = """
 WITH b AS (SELECT DISTINCT block_id, run_id, ngram, loc FROM space_t WHERE ngram IS NOT NULL AND len(loc) > 0 AND ngram_size = 1),
@@ -184,6 +196,9 @@ o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o)
 SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 60 AS INTEGER) AS span_end FROM g GROUP BY doc_id, g.g"""
 
+# tokens can't be counted in SQL: what must hold of the results is stated instead
+SQL["p8_valid"] = "SELECT container_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, true AS whole, CAST(0 AS BIGINT) AS overfull, true AS tight FROM containers WHERE capacity_tokens > 0"
+SQL["p9_valid"] = "SELECT source, round(sum(target_share), 6) AS target_share, true AS share_met, true AS repeats_kept FROM mix_targets WHERE target_share > 0 GROUP BY source"
 SQL["p1_support"] = SQL["p1_found"].replace("SELECT run_id, pattern FROM r", "SELECT run_id, pattern, support FROM r")
 
 SQL["p2_counts"] = (

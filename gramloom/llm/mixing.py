@@ -20,14 +20,49 @@ from gramloom.tables import cut
 
 #: Sources that may have targets, and repeats of a document.
 SOURCES, REPEATS = 10_000, 1_000
-#: Part of the largest mix that is possible without exceeding any source's repeats.
-FILL = 0.8
+#: Part of the largest mix that is possible without exceeding any source's repeats. At 1 the source that limits the mix uses every document as often as it may.
+FILL = 1.0
+#: Copies up to which a distribution's terms are added as they are; beyond, they could underflow.
+DIRECT = 64
 #: Steps in which a mean is sought, twice.
 STEPS = 2_048
 
 
-def means(u: np.ndarray, most: int) -> np.ndarray:
-    """For each number, the means from which on it yields 1, 2, ..., ``most`` copies: the roots of P(Poisson < j) = u, by bisection on the logarithm."""
+def _below(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(Poisson of mean x < a), the upper regularised gamma function, for whole a > 0: a series or a continued fraction, scaled by logarithms so that nothing underflows."""
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        scale = np.exp(a * np.log(x) - x - _log_factorial(a))
+        series = x < a + 1
+        # the lower function's series: x^a e^-x / a! * (1 + x/(a+1) + ...)
+        n, term, total = a.astype(float), np.ones_like(x), np.ones_like(x)
+        # the upper one's continued fraction, by its convergents
+        one, tiny = x + 1 - a, 1e-300
+        c, d = np.full_like(x, 1 / tiny), 1 / np.where(one == 0, tiny, one)
+        h = d.copy()
+        for i in range(1, 500):
+            n = n + 1
+            term = np.where(series, term * x / n, 0.0)
+            total += term
+            k = -i * (i - a)
+            one = one + 2
+            d = k * d + one
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = one + k / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            step = np.where(series, 1.0, d * c)
+            h = h * step
+            if i % 8 == 0 and (term <= 1e-16 * total).all() and (np.abs(step - 1) < 1e-15).all():
+                break
+        return np.where(series, 1 - scale * total, np.clip(scale * a * h, 0.0, 1.0))
+
+
+def _log_factorial(a: np.ndarray) -> np.ndarray:
+    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(a.max(initial=1)) + 1)))])
+    return table[a.astype(np.int64)]
+
+
+def _few(u: np.ndarray, most: int) -> np.ndarray:
+    """The same for up to ``DIRECT`` copies, whose terms can be added as they are."""
     out = np.empty((len(u), most))
     for j in range(1, most + 1):
         low, high = np.full(len(u), -60.0), np.full(len(u), np.log(j + 60.0 + 12 * np.sqrt(j)))
@@ -41,7 +76,27 @@ def means(u: np.ndarray, most: int) -> np.ndarray:
             more = below > u
             low, high = np.where(more, mid, low), np.where(more, high, mid)
         out[:, j - 1] = np.exp((low + high) / 2)
-    return np.maximum.accumulate(out, axis=1)
+    return out
+
+
+def means(u: np.ndarray, most: int) -> np.ndarray:
+    """For each number, the means from which on it yields 1, 2, ..., ``most`` copies: the roots of P(Poisson < j) = u, by bisection on the logarithm."""
+    few, more = _few(u, min(most, DIRECT)), np.arange(DIRECT + 1, most + 1)
+    if not len(more):
+        return np.maximum.accumulate(few, axis=1)
+    rest = np.empty((len(u), len(more)))
+    at_once = max(1, 200_000 // len(more))
+    for i in range(0, len(u), at_once):
+        part = np.repeat(u[i : i + at_once], len(more))
+        j = np.tile(more, len(part) // len(more))
+        # roots lie within 12 deviations of the mean
+        low, high = np.log(np.maximum(1.0, j - 12 * np.sqrt(j))), np.log(j + 60.0 + 12 * np.sqrt(j))
+        for _ in range(56):
+            mid = (low + high) / 2
+            above = _below(j, np.exp(mid)) > part
+            low, high = np.where(above, mid, low), np.where(above, high, mid)
+        rest[i : i + at_once] = np.exp((low + high) / 2).reshape(-1, len(more))
+    return np.maximum.accumulate(np.concatenate([few, rest], axis=1), axis=1)
 
 
 def _staged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,3 +192,12 @@ def shares(chosen: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame
     whole = chosen.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("whole"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return joined.crossJoin(F.broadcast(whole)).select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("actual_share"), zero("n_docs"), zero("n_copies"), zero("tokens"), zero("most").alias("most_repeats"), "max_repeats")
+
+
+def checked(chosen: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """What must hold, per source with a target: ``share_met`` (to within the largest document of any source) and ``repeats_kept``."""
+    found = shares(chosen, sized, targets)
+    sizes = sized.agg(F.max("tokens").alias("largest")).crossJoin(F.broadcast(chosen.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("whole"))))
+    rows = found.where("target_share > 0").crossJoin(F.broadcast(sizes))
+    met = F.abs(F.col("actual_share") - F.col("target_share")) * F.col("whole") <= F.col("largest")
+    return rows.select("source", F.round("target_share", 6).alias("target_share"), met.alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"))

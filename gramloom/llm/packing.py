@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Items in a group, about.
 GROUP = 16_384
+#: Numbers of containers that hold one full piece start here; those of groups lie below.
+FULL = 2**62
 #: Container kinds that may be given.
 KINDS = 1_000
 
@@ -100,10 +102,25 @@ def pack_documents(sized: DataFrame, containers: DataFrame, group: int = GROUP)
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
     size = F.least(F.col("kind.capacity"), F.col("all") - F.col("piece") * F.col("kind.capacity"))
     rows = items.select(F.col("kind.name").alias("container_name"), F.col("kind.capacity").alias("capacity"), "bucket", "doc_id", "piece", F.greatest(size, F.lit(0)).cast("bigint").alias("tokens"))
-    return rows.groupBy("container_name", "bucket").applyInArrow(_packed, _SQL)
+    # a piece of the full capacity is a container of its own, so a group has at most one item of each document
+    full = rows.where("tokens = capacity").select("container_name", "doc_id", "piece", (F.monotonically_increasing_id() + F.lit(FULL)).alias("container_no"), "tokens")
+    return rows.where("tokens < capacity").groupBy("container_name", "bucket").applyInArrow(_packed, _SQL).unionByName(full)
 
 
 def usage(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per kind: containers used, tokens, and the share of room left unused."""
     used = packed.groupBy("container_name").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("tokens").alias("tokens"))
     return used.join(containers.select("container_name", "capacity_tokens").distinct(), "container_name").select("container_name", "n_containers", "tokens", (1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("unused_share"))
+
+
+def checked(packed: DataFrame, sized: DataFrame, containers: DataFrame, slack: float = 0.01) -> DataFrame:
+    """What must hold, per kind: ``n_documents`` placed, ``whole`` (pieces add up to each document, and only documents above the capacity are cut), ``overfull``
+    containers, and ``tight`` (at most ``slack`` more containers than the tokens need, and one). ``sized`` has each doc_id once."""
+    kinds = containers.where("container_name is not null and capacity_tokens > 0").select("container_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    placed = packed.groupBy("container_name", "doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"))
+    both = placed.join(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("all")), "doc_id").join(F.broadcast(kinds), "container_name")
+    whole = (F.col("placed") == F.col("all")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("all") / F.col("capacity"))))
+    per = both.groupBy("container_name").agg(F.count("*").alias("n_documents"), F.every(whole).alias("whole"))
+    used = packed.groupBy("container_name", "container_no").agg(F.sum("tokens").alias("used")).join(F.broadcast(kinds), "container_name")
+    room = used.groupBy("container_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.count("*") <= 1 + F.ceil((1 + slack) * F.ceil(F.sum("used") / F.max("capacity")))).alias("tight"))
+    return per.join(room, "container_name").select("container_name", "n_documents", "whole", "overfull", "tight")

@@ -7,7 +7,6 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +66,3 @@ def with_tokens(spark: SparkSession, frame: DataFrame, text: str = "text", vocab
 def uniform(*columns: Column | str, seed: int = 0) -> Column:
     """A number above 0 and below 1 that depends on nothing but the columns and the seed."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / 2.0**53
-
-
-def piecewise(n: np.ndarray, most: int) -> np.ndarray:
-    """How many pieces of at most ``most`` tokens texts of ``n`` tokens make; one for an empty text."""
-    return np.maximum(1, -(-n // most))

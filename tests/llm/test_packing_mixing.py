@@ -1,3 +1,4 @@
+import math
 import os
 import random
 from itertools import combinations
@@ -71,6 +72,24 @@ def test_means_invert_the_distribution():
     assert (np.diff(got, axis=1) > 0).all()
 
 
+def test_means_of_many_copies():
+    u = np.array([1e-6, 0.1, 0.5, 0.9, 0.999999])
+    got = mixing.means(u, 1000)
+    assert (np.diff(got, axis=1) > 0).all()
+    for j in (1, 2, 63, 64, 65, 66, 200, 700, 800, 1000):
+        for x, m in zip(u, got[:, j - 1]):
+            terms = np.array([-m + i * np.log(m) - math.lgamma(i + 1) for i in range(j)])
+            assert np.exp(terms - terms.max()).sum() * np.exp(terms.max()) == pytest.approx(x, rel=1e-6)
+
+
+def test_many_repeats(spark):
+    sized = spark.createDataFrame([(i, "s", 10) for i in range(20)] + [(100 + i, "l", 10) for i in range(40_000)], MIX)
+    targets = spark.createDataFrame([("s", 0.3, 1000), ("l", 0.7, 1)], TARGET)
+    chosen = mixing.mix(spark, sized, targets)
+    got = {r["source"]: r for r in mixing.shares(chosen, sized, targets).collect()}
+    assert got["l"]["n_copies"] == 40_000 and abs(got["s"]["actual_share"] - 0.3) < 0.0005 and got["s"]["most_repeats"] <= 1000
+
+
 MIX = "doc_id long, source string, tokens long"
 TARGET = "source string, target_share double, max_repeats int"
 
@@ -83,7 +102,7 @@ def test_shares_and_caps(spark):
     chosen = mixing.mix(spark, sized, targets)
     got = {r["source"]: r for r in mixing.shares(chosen, sized, targets).collect()}
     for s, share, most in (("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 6)):
-        assert abs(got[s]["actual_share"] - share) < 0.002 and got[s]["most_repeats"] <= most
+        assert abs(got[s]["actual_share"] - share) < 0.002 and got[s]["n_copies"] > 0 and got[s]["most_repeats"] <= most
     assert got["d"]["n_copies"] == 0 and got[None]["n_copies"] == 0
     again = mixing.mix(spark, sized.repartition(7), targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen.collect()))
