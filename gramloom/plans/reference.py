@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,12 @@ def _docs(spark: SparkSession, folder: str, kind: str = "word", split: str | Non
     return docs.withColumn("tokens", words(F.col("text")) if kind == "word" else chars_no_space(F.col("text")))
 
 
+def _both(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` gives for the word sequences and for the char sequences, each of all splits, with their ``token_type``."""
+    word, char = (make(_docs(spark, folder, kind, None)).withColumn("token_type", F.lit(kind)) for kind in ("word", "char"))
+    return word.unionByName(char)
+
+
 def _pairs(docs: DataFrame, maxpat: int = 3) -> DataFrame:
     return patterns.pattern_docs(docs, 1, maxpat, MINSUP)
 
@@ -140,40 +148,44 @@ def tok_word(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct words with occurrences and documents."""
-    return patterns.vocabulary(_docs(spark, folder, "word", None))
+    """Distinct tokens of both kinds with occurrences and documents."""
+    return _both(spark, folder, patterns.vocabulary)
 
 
-# --- index and candidates -------------------------------------------------------------------------------------------
+# --- index and candidates: all splits, words and characters apart -----------------------------------------------------
 
 
 def inverted_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Words per document."""
-    return patterns.inverted_index(_docs(spark, folder))
+    """Tokens per document."""
+    return _both(spark, folder, patterns.inverted_index)
 
 
 def unigram_support(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents per word."""
-    return patterns.vocabulary(_docs(spark, folder)).select("token", "support")
+    """Documents per token."""
+    return vocab(spark, folder).select("token_type", "token", "support")
 
 
 def unigram_minsup(spark: SparkSession, folder: str) -> DataFrame:
-    """Words in at least five documents."""
+    """Tokens in at least five documents."""
     return unigram_support(spark, folder).where(F.col("support") >= MINSUP)
 
 
 def _grams(spark: SparkSession, folder: str, size: int) -> DataFrame:
-    rows = patterns.ngrams(_docs(spark, folder), size)
-    return rows.groupBy(shown(F.col("pattern")).alias("pattern")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("support"))
+    def make(docs: DataFrame) -> DataFrame:
+        # occurrences are counted within documents first
+        per = patterns.ngrams(docs, size).groupBy(shown(F.col("pattern")).alias("pattern"), "doc_id").agg(F.count("*").alias("n"))
+        return per.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("support"))
+
+    return _both(spark, folder, make)
 
 
 def ngram_bigrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of neighbouring words."""
+    """Pairs of neighbouring tokens."""
     return _grams(spark, folder, 2)
 
 
 def ngram_trigrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Triples of neighbouring words."""
+    """Triples of neighbouring tokens."""
     return _grams(spark, folder, 3)
 
 
@@ -182,32 +194,32 @@ def _shown(pairs: DataFrame) -> DataFrame:
 
 
 def ngram_topk_support(spark: SparkSession, folder: str) -> DataFrame:
-    """The 20 patterns of most support."""
-    return _shown(_pairs(_docs(spark, folder))).orderBy(F.desc("support"), "size", "pattern").limit(20)
+    """The 20 patterns of most support among words, and among characters."""
+    return _both(spark, folder, lambda docs: _shown(_pairs(docs)).orderBy(F.desc("support"), "size", "pattern").limit(20))
 
 
 def ngram_frequent(spark: SparkSession, folder: str) -> DataFrame:
-    """Frequent patterns of up to three words."""
-    return _shown(_pairs(_docs(spark, folder)))
+    """Frequent patterns of up to three tokens."""
+    return _both(spark, folder, lambda docs: _shown(_pairs(docs)))
 
 
 def ngram_len_window(spark: SparkSession, folder: str) -> DataFrame:
-    """Frequent patterns of two or three words; single words still take part in growing them."""
-    return _shown(patterns.pattern_docs(_docs(spark, folder), 2, 3, MINSUP))
+    """Frequent patterns of two or three tokens; single tokens still take part in growing them."""
+    return _both(spark, folder, lambda docs: _shown(patterns.pattern_docs(docs, 2, 3, MINSUP)))
 
 
 def ngram_gapped(spark: SparkSession, folder: str) -> DataFrame:
-    """Frequent patterns of up to four words with at most one wildcard in a row."""
-    return _shown(patterns.pattern_docs(_docs(spark, folder), 1, 4, MINSUP, 1))
+    """Frequent patterns of up to four tokens with at most one wildcard in a row."""
+    return _both(spark, folder, lambda docs: _shown(patterns.pattern_docs(docs, 1, 4, MINSUP, 1)))
 
 
 def ngram_dfs_order(spark: SparkSession, folder: str) -> DataFrame:
-    """All frequent patterns in the order of a depth-first search."""
-    counted = _pairs(_docs(spark, folder)).groupBy("pattern", "size").agg(F.count("*").alias("support"))
-    return patterns.ranked(counted).select("rank", shown(F.col("pattern")).alias("pattern"), "size", "support")
+    """All frequent patterns in the order of a depth-first search, words and characters each from 1 on."""
+    counted = lambda docs: _pairs(docs).groupBy("pattern", "size").agg(F.count("*").alias("support"))
+    return _both(spark, folder, lambda docs: patterns.ranked(counted(docs)).select("rank", shown(F.col("pattern")).alias("pattern"), "size", "support"))
 
 
-# --- gradients ------------------------------------------------------------------------------------------------------
+# --- gradients: learning takes the training split, here its words --------------------------------------------------
 
 
 def _named(grads: DataFrame) -> DataFrame:

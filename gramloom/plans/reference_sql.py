@@ -31,6 +31,17 @@ p AS (SELECT DISTINCT pattern, size, doc_id, y, last FROM g),
 f AS (SELECT pattern, size, count(*) AS support FROM p GROUP BY ALL HAVING count(*) >= 5)
 """
 
+_EVERY = _DOCS + r""",
+w AS (SELECT doc_id, token_type, CASE WHEN token_type = 'word' THEN regexp_extract_all(text, '\S+') ELSE regexp_extract_all(text, '\S') END AS tok FROM d WHERE token_type IN ('word', 'char')),
+t AS (SELECT doc_id, token_type, unnest(tok) AS token, generate_subscripts(tok, 1) - 1 AS pos FROM w)
+"""
+
+_EVERY_GRAMS = _EVERY + """,
+g AS (SELECT n AS size, doc_id, token_type, array_to_string(tok[i:i + n - 1], ' ') AS pattern FROM
+      (SELECT doc_id, token_type, tok, n, unnest(range(1, len(tok) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(n) WHERE len(tok) >= n)),
+f AS (SELECT token_type, pattern, CAST(size AS INTEGER) AS size, count(DISTINCT doc_id) AS support FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)
+"""
+
 _STATE = _GRAMS + """,
 k AS (SELECT token, CASE rn WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN -0.3::DOUBLE ELSE 0.2::DOUBLE END AS beta
       FROM (SELECT token, row_number() OVER (ORDER BY count(DISTINCT doc_id) DESC, token) AS rn FROM t GROUP BY token) WHERE rn <= 3),
@@ -92,11 +103,11 @@ nm AS (SELECT ag.run_id, ag.pattern, ag.total / nullif(sz.l1, 0) AS weight FROM
 
 
 def _support(sizes: str) -> str:
-    return _GRAMS + f"SELECT pattern, CAST(size AS INTEGER) AS size, support FROM f WHERE size IN ({sizes})"
+    return _EVERY_GRAMS + f"SELECT token_type, pattern, size, support FROM f WHERE size IN ({sizes})"
 
 
 def _grams(n: int) -> str:
-    return _GRAMS + f"SELECT pattern, count(*) AS n, count(DISTINCT doc_id) AS support FROM g WHERE size = {n} GROUP BY pattern"
+    return _EVERY_GRAMS + f"SELECT token_type, pattern, count(*) AS n, count(DISTINCT doc_id) AS support FROM g WHERE size = {n} GROUP BY token_type, pattern"
 
 
 def _places(condition: str) -> str:
@@ -104,37 +115,37 @@ def _places(condition: str) -> str:
 
 
 _GAPPED = (
-    _WORDS
+    _EVERY
     + """,
-r AS (SELECT n, doc_id, tok[i:i + n - 1] AS win FROM (SELECT doc_id, tok, n, unnest(range(1, len(tok) - n + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(n) WHERE len(tok) >= n)),
-fm AS (SELECT n, doc_id, array_to_string(win, ' ') AS pattern FROM r
-   UNION ALL SELECT n, doc_id, win[1] || ' * ' || win[3] FROM r WHERE n = 3
-   UNION ALL SELECT n, doc_id, win[1] || ' * ' || win[3] || ' ' || win[4] FROM r WHERE n = 4
-   UNION ALL SELECT n, doc_id, win[1] || ' ' || win[2] || ' * ' || win[4] FROM r WHERE n = 4)
-SELECT pattern, CAST(n AS INTEGER) AS size, count(DISTINCT doc_id) AS support FROM fm GROUP BY pattern, n HAVING count(DISTINCT doc_id) >= 5"""
+r AS (SELECT n, doc_id, token_type, tok[i:i + n - 1] AS win FROM (SELECT doc_id, token_type, tok, n, unnest(range(1, len(tok) - n + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(n) WHERE len(tok) >= n)),
+fm AS (SELECT n, doc_id, token_type, array_to_string(win, ' ') AS pattern FROM r
+   UNION ALL SELECT n, doc_id, token_type, win[1] || ' * ' || win[3] FROM r WHERE n = 3
+   UNION ALL SELECT n, doc_id, token_type, win[1] || ' * ' || win[3] || ' ' || win[4] FROM r WHERE n = 4
+   UNION ALL SELECT n, doc_id, token_type, win[1] || ' ' || win[2] || ' * ' || win[4] FROM r WHERE n = 4)
+SELECT token_type, pattern, CAST(n AS INTEGER) AS size, count(DISTINCT doc_id) AS support FROM fm GROUP BY token_type, pattern, n HAVING count(DISTINCT doc_id) >= 5"""
 )
 
 _LOSS = "greatest(-y * ({s}), 0) + ln(1 + exp(-abs(y * ({s}))))"
 
 SQL = {
-    "src_labelled_docs": _LINES + r"SELECT line_id, class_label, CASE WHEN coalesce(TRY_CAST(regexp_extract(class_label, '^\s*([+-]?\d{1,9})', 1) AS INTEGER), 0) > 0 THEN 1 ELSE -1 END AS y, text FROM s WHERE text IS NOT NULL",
+    "src_labelled_docs": _LINES + r"SELECT line_id, class_label, CASE WHEN regexp_matches(class_label, '^\s*\+?0*[1-9]') THEN 1 ELSE -1 END AS y, text FROM s WHERE text IS NOT NULL",
     "src_filter_comments": _LINES + "SELECT line_id, value FROM l",
     "src_split_label": _LINES + "SELECT line_id, class_label, text FROM s",
     "class_counts": _DOCS + "SELECT count(*) AS n_docs, CAST(count(*) FILTER (y > 0) AS BIGINT) AS n_positive, CAST(count(*) FILTER (y <= 0) AS BIGINT) AS n_negative FROM d",
     "tok_char": _DOCS + r", c AS (SELECT doc_id, regexp_extract_all(text, '\S') AS tok FROM d WHERE token_type = 'char' AND NOT regexp_matches(regexp_replace(text, '\s+\z', ''), '\s')) SELECT doc_id, CAST(generate_subscripts(tok, 1) - 1 AS INTEGER) AS pos, unnest(tok) AS token FROM c",
     "tok_char_nospace": _DOCS + r", c AS (SELECT doc_id, regexp_extract_all(text, '\S') AS tok FROM d WHERE token_type = 'char') SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, array_to_string(tok, '') AS joined FROM c",
     "tok_word": _ALL_WORDS + "SELECT doc_id, pos, token FROM ta",
-    "vocab": _ALL_WORDS + "SELECT token, count(*) AS n_tokens, count(DISTINCT doc_id) AS support FROM ta GROUP BY token",
-    "inverted_index": _WORDS + "SELECT token, doc_id, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_pos FROM t GROUP BY token, doc_id",
-    "unigram_support": _WORDS + "SELECT token, count(DISTINCT doc_id) AS support FROM t GROUP BY token",
-    "unigram_minsup": _WORDS + "SELECT token, count(DISTINCT doc_id) AS support FROM t GROUP BY token HAVING count(DISTINCT doc_id) >= 5",
+    "vocab": _EVERY + "SELECT token_type, token, count(*) AS n_tokens, count(DISTINCT doc_id) AS support FROM t GROUP BY token_type, token",
+    "inverted_index": _EVERY + "SELECT token_type, token, doc_id, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_pos FROM t GROUP BY token_type, token, doc_id",
+    "unigram_support": _EVERY + "SELECT token_type, token, count(DISTINCT doc_id) AS support FROM t GROUP BY token_type, token",
+    "unigram_minsup": _EVERY + "SELECT token_type, token, count(DISTINCT doc_id) AS support FROM t GROUP BY token_type, token HAVING count(DISTINCT doc_id) >= 5",
     "ngram_bigrams": _grams(2),
     "ngram_trigrams": _grams(3),
-    "ngram_topk_support": _support("1, 2, 3") + " ORDER BY support DESC, size, pattern LIMIT 20",
+    "ngram_topk_support": _support("1, 2, 3") + " QUALIFY row_number() OVER (PARTITION BY token_type ORDER BY support DESC, size, pattern) <= 20",
     "ngram_frequent": _support("1, 2, 3"),
     "ngram_len_window": _support("2, 3"),
     "ngram_gapped": _GAPPED,
-    "ngram_dfs_order": _GRAMS + "SELECT row_number() OVER (ORDER BY string_split(pattern, ' ')) AS rank, pattern, CAST(size AS INTEGER) AS size, support FROM f",
+    "ngram_dfs_order": _EVERY_GRAMS + "SELECT token_type, row_number() OVER (PARTITION BY token_type ORDER BY string_split(pattern, ' ')) AS rank, pattern, size, support FROM f",
     "grad_logistic": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, round(lg, 6) AS gradient FROM q",
     "grad_sqhinge": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, round(sg, 6) AS gradient FROM q",
     "grad_bounds": _STATE + "SELECT pattern, CAST(size AS INTEGER) AS size, support, round(upos, 6) AS upos, round(uneg, 6) AS uneg FROM q",
