@@ -82,6 +82,14 @@ def predicted(scored: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") > 0, 1).otherwise(-1))
 
 
+def trie(model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, prefix, depth, feature_id): the prefixes of all patterns as nodes, each once; ``feature_id`` where a node is a pattern. Joins on prefixes take the place of a walk."""
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda n: F.slice("tokens", F.lit(1), n))).alias("prefix")
+    nodes = model.where(F.size("tokens") > 0).select(*by, prefixes, "tokens", "feature_id")
+    own = F.min(F.when(F.col("prefix") == F.col("tokens"), F.col("feature_id"))).alias("feature_id")
+    return nodes.groupBy(*by, "prefix").agg(own).select(*by, "prefix", F.size("prefix").alias("depth"), "feature_id")
+
+
 def prefixes_of(text_tokens: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, pattern): the model's patterns, without wildcards, that the tokens of a document start with."""
     plain = model.where(~F.array_contains("tokens", WILDCARD)).select("tokens", "pattern")

@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.tables import cut
+from gramloom.tables import cut, numbered
 
 WILDCARD = "*"
 #: Frequent patterns (some 60 bytes each) up to which they are broadcast; beyond, joins with them are shuffled.
@@ -87,6 +87,8 @@ def pattern_docs(docs: DataFrame, minpat: int = 1, maxpat: int | None = 3, minsu
     no pattern is frequent.
     """
     levels: list[DataFrame] = []
+    if minsup > 1:
+        docs = cut(docs.select("doc_id", "tokens"))  # read again for each level
     if maxpat is None:
         maxpat = max(minpat, docs.agg(F.max(F.size("tokens"))).first()[0] or 0)
     barren = 0
@@ -126,12 +128,7 @@ def supports(pairs: DataFrame) -> DataFrame:
 
 def ranked(frame: DataFrame) -> DataFrame:
     """All patterns with their ``rank``, from 1 on, in a depth-first search (by tokens, prefixes first). Ranges of patterns are numbered apart; no task holds all."""
-    rows = cut(frame.repartitionByRange("pattern").withColumn("__part", F.spark_partition_id()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each range
-    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("pattern"))
-    return rows.join(F.broadcast(starts), "__part").withColumn("rank", (F.col("start") + own).cast("bigint")).drop("__part", "start")
+    return numbered(frame, "pattern")
 
 
 def first_visited(frame: DataFrame, n: int, breadth: bool = True) -> DataFrame:

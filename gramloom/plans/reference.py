@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,8 @@ from gramloom.functions.losses import LOGISTIC, SQUARED_HINGE, penalty
 from gramloom.functions.tokens import chars_no_space, is_char_text, shown, words
 from gramloom.operators import evaluate, gradient, learner, linesearch, matcher, model, patterns, postings
 from gramloom.plans.reference_sql import SQL  # noqa: F401
-from gramloom.sources import sequences
-from gramloom.tables import cut, once, table
+from gramloom.sources import models, sequences
+from gramloom.tables import cut, numbered, once, shared_folder, table
 
 MINSUP, STEPS = 5, [0.001 * 2**i for i in range(10)]
 BETAS = (0.4, -0.3, 0.2)
@@ -122,6 +123,17 @@ def src_split_label(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.record_lines(_lines(spark, folder)).select("line_id", label.alias("class_label"), text.alias("text"))
 
 
+def src_strip_cr(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without one closing carriage return."""
+    return _lines(spark, folder).where("value is not null").select("line_id", F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
+def src_test_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the test split, as the classifier reads them."""
+    docs = sequences.labelled_docs(table(spark, folder, "toy"))
+    return docs.where("split_name = 'test'").select("doc_id", "token_type", "y", "text")
+
+
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents per class."""
     return sequences.class_counts(sequences.labelled_docs(table(spark, folder, "toy")))
@@ -147,6 +159,11 @@ def tok_word(spark: SparkSession, folder: str) -> DataFrame:
     return patterns.positions(_docs(spark, folder, "word", None))
 
 
+def tok_word_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the test split, as the classifier reads them."""
+    return patterns.positions(_docs(spark, folder, "word", "test"))
+
+
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct tokens of both kinds with occurrences and documents."""
     return _both(spark, folder, patterns.vocabulary)
@@ -313,7 +330,7 @@ def line_search_refine(spark: SparkSession, folder: str) -> DataFrame:
     if top is None:
         return spark.createDataFrame([], "step double")
     step = linesearch.exact_step(linesearch.Losses(_marked(docs, _zero(docs))), top["gradient"], lambda s: 0.2 * abs(s) + 0.4 * s * s)
-    return spark.createDataFrame([(round(step, 6),)], "step double")
+    return spark.createDataFrame([(round(step, 4),)], "step double")
 
 
 def state_after_step(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,9 +346,16 @@ def convergence_rate(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(linesearch.convergence(old, linesearch.after_step(_marked(docs, old), -0.1)))
 
 
+#: What was learned in this application: a list of steps for each folder and kind.
+_LEARNED: dict[tuple[str, str, str], learner.Learned] = {}
+
+
 def _learned(spark: SparkSession, folder: str, kind: str) -> learner.Learned:
-    """Learned up to the stop tests, from patterns of any length; only ``MINSUP`` prunes."""
-    return learner.learn(_docs(spark, folder, kind), learner.Params(token=kind, minsup=MINSUP, maxpat=None))
+    """Learned up to the stop tests, from patterns of any length; only ``MINSUP`` prunes. Queries of one application that show different sides of it share a run."""
+    key = (spark.sparkContext.applicationId, folder, kind)
+    if key not in _LEARNED:
+        _LEARNED[key] = learner.learn(_docs(spark, folder, kind), learner.Params(token=kind, minsup=MINSUP))
+    return _LEARNED[key]
 
 
 def learn_word(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,6 +373,12 @@ def learn_log(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_learned(spark, folder, "word").log_frame(spark))
 
 
+def learn_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the steps learned on words."""
+    held = learner.checked(_docs(spark, folder), _learned(spark, folder, "word"), learner.Params(token="word", minsup=MINSUP))
+    return spark.createDataFrame([tuple(held.values())], ", ".join(f"{name} boolean" for name in held))
+
+
 # --- models ---------------------------------------------------------------------------------------------------------
 
 
@@ -356,6 +386,26 @@ def _steps(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "model_steps")
 
 
+def steps_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each run's steps, written as text and read again."""
+    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    models.write_steps(_steps(spark, folder).where("delta is not null and pattern is not null"), path, "run_id")
+    return models.read_steps(spark, path).select(F.col("run_id").cast("bigint").alias("run_id"), F.round("delta", 6).alias("delta"), "pattern")
+
+
+def model_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each run's model, written and read again."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.write_model(model.make_model(_steps(spark, folder), ("run_id",)), path)
+    return _rounded(models.read_model(spark, path).select("run_id", "feature_id", "pattern", F.size("tokens").alias("n_tokens"), "weight"))
+
+
+def model_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefixes of each run's patterns."""
+    nodes = matcher.trie(table(spark, folder, "predictors"), ("run_id",))
+    return nodes.select("run_id", F.array_join("prefix", " ").alias("prefix"), "depth", "feature_id")
+
+
 def model_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     """Merged steps of each run."""
     return _rounded(model.aggregate_steps(_steps(spark, folder), ("run_id",)))
@@ -492,6 +542,12 @@ def eval_auc50(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.auc50(_scored(spark, folder)))
 
 
+def eval_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The test documents by falling score, equal scores by id."""
+    rows = _scored(spark, folder).select("doc_id", "score", (-F.col("score")).alias("minus"))
+    return numbered(rows, "minus", "doc_id").select("rank", "doc_id", "score")
+
+
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
     """All measures in one row."""
     return _rounded(evaluate.report(cut(_scored(spark, folder))))
@@ -510,12 +566,12 @@ def tune_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        src_labelled_docs, src_filter_comments, src_split_label, class_counts, tok_char, tok_char_nospace, tok_word, vocab, inverted_index, unigram_support, unigram_minsup,
+        src_labelled_docs, src_filter_comments, src_split_label, src_strip_cr, src_test_docs, class_counts, tok_char, tok_char_nospace, tok_word, tok_word_test, vocab, inverted_index, unigram_support, unigram_minsup,
         ngram_bigrams, ngram_trigrams, ngram_topk_support, ngram_frequent, ngram_len_window, ngram_gapped, ngram_dfs_order,
         grad_logistic, grad_sqhinge, grad_bounds, grad_regularised, prefix_bound, prune_survivors, best_ngram, best_ngram_sqhinge,
-        initial_loss, loss_logistic, loss_sqhinge, penalty_elastic_net, line_search_grid, line_search_refine, state_after_step, convergence_rate, learn_word, learn_char, learn_log,
-        model_aggregate, model_normalise, model_bias, model_norms, model_ids, model_predictors,
+        initial_loss, loss_logistic, loss_sqhinge, penalty_elastic_net, line_search_grid, line_search_refine, state_after_step, convergence_rate, learn_word, learn_char, learn_log, learn_valid,
+        steps_files, model_files, model_trie, model_aggregate, model_normalise, model_bias, model_norms, model_ids, model_predictors,
         match_unigrams, match_ngrams, match_gapped, match_distinct, score_docs, predict_label, oov_docs, explain_rules, feature_ids, prefix_search,
-        eval_confusion, eval_accuracy, eval_prf, eval_fss, eval_balanced_error, eval_auc, eval_auc50, eval_report, tune_threshold, tune_report,
+        eval_confusion, eval_accuracy, eval_prf, eval_fss, eval_balanced_error, eval_auc, eval_auc50, eval_ranked, eval_report, tune_threshold, tune_report,
     )
 }

@@ -130,6 +130,22 @@ _LOSS = "greatest(-y * ({s}), 0) + ln(1 + exp(-abs(y * ({s}))))"
 SQL = {
     "src_labelled_docs": _LINES + r"SELECT line_id, class_label, CASE WHEN regexp_matches(class_label, '^\s*\+?0*[1-9]') THEN 1 ELSE -1 END AS y, text FROM s WHERE text IS NOT NULL",
     "src_filter_comments": _LINES + "SELECT line_id, value FROM l",
+    "src_strip_cr": _LINES + "SELECT line_id, value FROM v",
+    "src_test_docs": _DOCS + "SELECT doc_id, token_type, y, text FROM d WHERE split_name = 'test'",
+    "tok_word_test": _ALL_WORDS + "SELECT doc_id, pos, token FROM ta WHERE doc_id IN (SELECT doc_id FROM a WHERE split_name = 'test')",
+    "learn_valid": "SELECT true AS losses_fall, true AS loss_agrees, true AS best_found, true AS stopped",
+    "steps_files": "SELECT run_id, round(delta, 6) AS delta, pattern FROM model_steps WHERE delta IS NOT NULL AND pattern IS NOT NULL",
+    "model_files": _STEPS + "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY pattern) - 1 AS INTEGER) AS feature_id, pattern, CAST(len(string_split(pattern, ' ')) AS INTEGER) AS n_tokens, round(weight, 6) AS weight FROM nm",
+    "model_trie": """WITH n AS (SELECT run_id, tokens, feature_id, unnest(range(1, len(tokens) + 1)) AS depth FROM predictors)
+SELECT run_id, array_to_string(tokens[1:depth], ' ') AS prefix, CAST(depth AS INTEGER) AS depth, min(CASE WHEN depth = len(tokens) THEN feature_id END) AS feature_id FROM n GROUP BY run_id, prefix, depth""",
+    "eval_ranked": _MODEL + "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM e",
+    "line_search_refine": _GRAMS + _BEST + """,
+h AS (SELECT CAST(sum(CASE WHEN w.y > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN w.y > 0 THEN 0 ELSE 1 END) AS DOUBLE) AS n FROM c JOIN w USING (doc_id)),
+s0 AS (SELECT p, n, CASE WHEN p > n THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM h),
+b AS (WITH RECURSIVE r(i, lo, hi, p, n, sg) AS (SELECT 0, 0.0::DOUBLE, 64.0::DOUBLE, p, n, sg FROM s0
+    UNION ALL SELECT i + 1, CASE WHEN d < 0 THEN m ELSE lo END, CASE WHEN d < 0 THEN hi ELSE m END, p, n, sg
+    FROM (SELECT *, (lo + hi) / 2 AS m, sg * (-p / (1 + exp(sg * (lo + hi) / 2)) + n / (1 + exp(-sg * (lo + hi) / 2))) + 0.2 + 0.8 * (lo + hi) / 2 AS d FROM r) WHERE i < 60) SELECT * FROM r WHERE i = 60)
+SELECT round(sg * (lo + hi) / 2, 4) AS step FROM b""",
     "src_split_label": _LINES + "SELECT line_id, class_label, text FROM s",
     "class_counts": _DOCS + "SELECT count(*) AS n_docs, CAST(count(*) FILTER (y > 0) AS BIGINT) AS n_positive, CAST(count(*) FILTER (y <= 0) AS BIGINT) AS n_negative FROM d",
     "tok_char": _DOCS + r", c AS (SELECT doc_id, regexp_extract_all(text, '\S') AS tok FROM d WHERE token_type = 'char' AND NOT regexp_matches(regexp_replace(text, '\s+\z', ''), '\s')) SELECT doc_id, CAST(generate_subscripts(tok, 1) - 1 AS INTEGER) AS pos, unnest(tok) AS token FROM c",

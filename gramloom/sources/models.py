@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 from gramloom.sources.sequences import split_first
 
 
-def write_steps(steps: DataFrame, path: str) -> None:
-    """``delta`` with 12 decimals and the pattern, a line for each step in order."""
-    line = F.concat_ws(" ", F.format_string("%.12f", F.col("delta")), F.col("pattern"))
-    steps.orderBy("step").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_steps(steps: DataFrame, path: str, by: str | None = None) -> None:
+    """``delta`` with 12 decimals and the pattern, a line for each step in order. With ``by``, each of its values has a folder, so that many models are written by many tasks."""
+    line = F.concat_ws(" ", F.format_string("%.12f", F.col("delta")), F.col("pattern")).alias("value")
+    if by:
+        steps.repartition(by).sortWithinPartitions(by, "step").select(by, line).write.mode("overwrite").partitionBy(by).text(path)
+    else:
+        steps.orderBy("step").select(line).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
-    """(delta, pattern) of a steps file, repeats included; lines may be of any length."""
+    """(delta, pattern) of steps, repeats included, and the column that they were written by, if any; lines may be of any length."""
     delta, pattern = split_first(F.col("value"))
-    return spark.read.text(path).withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''").select(delta.try_cast("double").alias("delta"), pattern.alias("pattern")).where("delta is not null and pattern is not null")
+    lines = spark.read.text(path)
+    others = [c for c in lines.columns if c != "value"]
+    return lines.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''").select(*others, delta.try_cast("double").alias("delta"), pattern.alias("pattern")).where("delta is not null and pattern is not null")
 
 
 def predictor_lines(model: DataFrame, bias: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def numbered(frame: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
+    """Adds ``rank``: 1, 2, ... in the order of the keys (distinct, or the order of equal rows is open). Ranges of keys are numbered apart; no task holds all."""
+    rows = cut(frame.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, (F.col("start") + own).cast("bigint")).drop("__part", "start")
+
+
 class Scratch:
     """A folder in the shared one for tables that are written and read again, compressed and without any of their plan; it is removed when its work is done.
 

@@ -11,7 +11,7 @@ CORE = {**loading.QUERIES, **reference.QUERIES}
 
 
 def test_every_query_has_its_sql():
-    rows_only = {"line_search_refine", "learn_word", "learn_char", "learn_log"}
+    rows_only = {"learn_word", "learn_char", "learn_log"}
     assert set(CORE) - set(entry.oracle_sql()) == rows_only
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["p3_found", "p3_valid", "p6_totals", "best_ngram", "ngram_gapped", "match_gapped", "score_docs", "tune_report", "grad_bounds", "model_predictors"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_valid", "p6_totals", "best_ngram", "ngram_gapped", "match_gapped", "score_docs", "tune_report", "grad_bounds", "model_predictors", "steps_files", "model_files", "model_trie", "eval_ranked", "line_search_refine", "src_strip_cr"])
 def test_same_as_sql(spark, name):
     import duckdb
     import pandas as pd

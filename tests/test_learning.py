@@ -33,7 +33,7 @@ def test_recorded_steps(spark):
 def test_search_finds_the_best_of_all_patterns(spark, case, monkeypatch):
     rng = np.random.default_rng(len(case))
     params = Params(token="word", **case)
-    rows = [(int(i), int(rng.choice([-1, 1])), [str(t) for t in rng.choice(list("abcd"), size=rng.integers(0, 8))]) for i in range(30)]
+    rows = [(int(i), int(rng.choice([-1, 1])), [str(t) for t in rng.choice(list("abcd" if params.maxgap else "abc*"), size=rng.integers(0, 8))]) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, y int, tokens array<string>")
     monkeypatch.setattr(learner, "HELD", 4)
     scratch = tables.Scratch(spark)
@@ -52,6 +52,19 @@ def test_search_finds_the_best_of_all_patterns(spark, case, monkeypatch):
     every.unpersist()
 
 
+def test_tokens_that_look_like_wildcards(spark):
+    rows = [(i, 1 if i < 8 else -1, ["a", "*" if i % 2 else "x", "b"] if i < 8 else ["a", "b", "*"]) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, y int, tokens array<string>")
+    state = docs.select("doc_id", "y").selectExpr("*", "0.0D AS score")
+    for maxgap, want in ((0, [["a", "b"], 8]), (1, [["a", "*", "b"], 8])):
+        scratch = tables.Scratch(spark)
+        tree = learner.Tree(docs.select("doc_id", "tokens"), Params(token="word", maxgap=maxgap, minpat=2), scratch)
+        top = learner.search(tree, state, {}, True)[0]
+        row = tree.rows().groupBy("pattern").count().where("array_join(pattern, ' ') = '" + " ".join(want[0]) + "'").first()
+        assert abs(abs(top["gradient"]) - 4) < 1e-9 and top["pattern"][-1] != "*" and row["count"] == want[1]
+        scratch.remove()
+
+
 def test_scratch_tables_are_removed(spark):
     import os
 
@@ -164,13 +177,28 @@ def test_extreme_scores(spark):
 
 
 def test_registered_learners_run_to_their_stop_tests(spark, monkeypatch):
-    from gramloom.operators import learner
     from gramloom.plans import reference
 
     seen = []
     monkeypatch.setattr(reference, "_docs", lambda *a: None)
-    monkeypatch.setattr(reference.learner, "learn", lambda docs, params: seen.append(params) or learner.Learned([], []))
+    monkeypatch.setattr(reference, "_LEARNED", {})
+    monkeypatch.setattr(reference.learner, "learn", lambda docs, params: seen.append(params) or learner.Learned())
     for query in (reference.learn_word, reference.learn_char, reference.learn_log):
         query(spark, "")
-    assert [p.token for p in seen] == ["word", "char", "word"]
+    # words are learned once for both queries
+    assert [p.token for p in seen] == ["word", "char"]
     assert all((p.maxitr, p.convergence, p.maxpat) == (5000, 0.005, None) for p in seen)
+
+
+def test_what_was_learned_is_checked_another_way(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 1 if i % 2 else -1, " ".join(rng.choice(list("abcd") if i % 2 else list("abce"), size=6))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, y int, text string")
+    params = Params(token="word", minsup=2, maxitr=6)
+    got = learn(frame, params)
+    assert len(got.steps) > 2 and all(v for k, v in learner.checked(frame, got, params).items() if k != "stopped")
+    wrong = learner.Learned([(i, d * 1.1, p) for i, d, p in got.steps], got.log)
+    assert not learner.checked(frame, wrong, params)["loss_agrees"]
+    worse = learner.Learned(got.steps, [*got.log[:-1], {**got.log[-1], "gradient": 0.0}])
+    assert not learner.checked(frame, worse, params)["best_found"]
+    assert all(learner.checked(frame.limit(0), learner.Learned(), params).values())
