@@ -37,3 +37,17 @@ def canonical_key(label: Column, sequence: Column) -> Column:
     plain = F.when(label.isNull(), F.lit("n")).when(is_integer(label), F.concat(F.lit("i"), number)).otherwise(F.concat(F.lit("t"), F.trim(label)))
     body = F.when(sequence.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), letters_digits(sequence)))
     return F.substring(F.unhex(F.sha2(F.concat(plain, F.lit("\x1f"), body), 256)), 1, 16)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, count: str, key: str = "key", share: float = 0.001, least: int = 1_000) -> DataFrame:
+    """``rows`` joined with the groups that they belong to by ``key``; ``groups`` has ``count``, the rows of each.
+
+    Keys of more than ``share`` of all rows, and of more than ``least``, would overload a task. They are fewer than 1 / ``share``, and only their groups are broadcast; all other
+    keys go through a shuffled join.
+    """
+    total = groups.agg(F.sum(count).alias("__all"))
+    marked = groups.crossJoin(F.broadcast(total)).withColumn("__hot", (F.col(count) > share * F.col("__all")) & (F.col(count) > least)).drop("__all")
+    hot, light = marked.where("__hot").drop("__hot"), marked.where("not __hot").drop("__hot")
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(light, key)
+    return near.unionByName(far)
