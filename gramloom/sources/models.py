@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from gramloom.sources.sequences import split_first
 
 
+# Texts of the per-document reports.
+NO_MATCH, BIAS, BLOCK = "Test doc out of vocabulary", "__DFAULT__", ("<instance>", "</instance>")
+
+
 def write_steps(steps: DataFrame, path: str, by: str | None = None) -> None:
     """``delta`` with 12 decimals and the pattern, a line for each step in order. With ``by``, each of its values has a folder, so that many models are written by many tasks."""
     line = F.concat_ws(" ", F.format_string("%.12f", F.col("delta")), F.col("pattern")).alias("value")
@@ -65,11 +69,10 @@ def score_lines(scored: DataFrame, verbosity: int = 1, bias: float = 0.0) -> Dat
     """
     line = [F.col("y").cast("string"), F.col("score").cast("string"), F.col("prob").cast("string")]
     if verbosity == 3:
-        return scored.where("n_matched = 0").select("doc_id", F.lit("Test doc out of vocabulary").alias("value"))
+        return scored.where("n_matched = 0").select("doc_id", F.lit(NO_MATCH).alias("value"))
     if verbosity == 4:
         rules = F.transform(F.coalesce("rules", F.array().cast("array<struct<pattern: string, weight: double>>")), lambda r: F.concat_ws(" ", F.lit("rule:"), r["pattern"], r["weight"].cast("string")))
-        # the label of the bias row is a fixed value
-        block = F.concat(F.array(F.lit("<instance>"), F.concat_ws(" ", *line, "text"), F.lit(f"rule: {bias!r} __DFAULT__")), rules, F.array(F.lit("</instance>")))
+        block = F.concat(F.array(F.lit(BLOCK[0]), F.concat_ws(" ", *line, "text"), F.lit(f"rule: {bias!r} {BIAS}")), rules, F.array(F.lit(BLOCK[1])))
         return scored.select("doc_id", F.array_join(block, "\n").alias("value"))
     parts = {1: line, 2: [*line, "text"], 5: [line[0], "features"]}[verbosity]
     return scored.select("doc_id", F.concat_ws(" ", *parts).alias("value"))
