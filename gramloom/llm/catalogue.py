@@ -70,8 +70,8 @@ def p7_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Fuzzy passages: chains of matches between two records."""
-    return spans.fuzzy_passages(table(spark, folder, "toy"))
+    """Fuzzy passages: chains of matches between every two texts that share seeds."""
+    return spans.fuzzy_passages(table(spark, folder, "toy"), every=True)
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ costs (the best predecessor comes from a Fenwick tree), and chains are aligned:
 
 Exact spans are the blocks of the chains of fragments that are long enough. As that result is exact, chains group its blocks but never decide which there are; they decide what
 fuzzy passages there are. Seeds of many occurrences would give all pairs of a group. For spans their windows are hashed instead, 128 bits each, and a window is
-shared if its smallest and largest text differ: an exact way whose cost is linear. For passages each text is chained with one text of the group.
+shared if its smallest and largest text differ: an exact way whose cost is linear. For passages all pairs of a group are the result; they are compared in cells of
+bounded size, or, if one row for each member of a group will do, each text is chained with one text of the group.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from gramloom.llm.records import with_groups
 from gramloom.tables import cut
 
 SEED = 20
-#: Occurrences of a seed up to which all are paired; beyond, spans come from hashed windows and passages from pairs with one text of the group.
+#: Occurrences of a seed up to which all are paired at once; beyond, spans come from hashed windows and passages from cells of pairs.
 PAIRED = 16
+#: Occurrences on a side of a cell, on average.
+SIDE = 64
 #: Rows of shared seeds or windows (some 30 bytes each) up to which they are broadcast; beyond, the joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Cost of a gap between fragments, per character by which a chain moves on in either text.
@@ -247,7 +250,10 @@ def _fragments(own: np.ndarray, pos: np.ndarray, around: np.ndarray, one: np.nda
 
 
 def _paired(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (seed, class_id, pos, context) to the fragments of all pairs of occurrences of a seed in two texts. A seed that goes on in the next batch is held back."""
+    """Sorted (seed, class_id, pos, context) to the fragments of all pairs of occurrences of a seed in two texts. A seed that goes on in the next batch is held back.
+
+    With a fifth column, rows with the same ``side`` from 0 on are not paired.
+    """
     held: pa.RecordBatch | None = None
 
     def done(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -259,6 +265,9 @@ def _paired(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterat
         two = np.repeat(np.arange(len(seed)), place)
         one = two - 1 - (np.arange(len(two)) - np.repeat(np.cumsum(place) - place, place))
         apart = own[one] != own[two]
+        if rows.num_columns > 4:
+            side = np.asarray(rows.column(4))
+            apart &= (side[one] != side[two]) | (side[one] < 0)
         yield from _fragments(own, pos, around, one[apart], two[apart], width, least)
 
     for batch in batches:
@@ -290,8 +299,19 @@ def paired_fragments(contexts: DataFrame, least: int, shortest: int) -> DataFram
     return rows.mapInArrow(lambda it: _paired(it, least - SEED, shortest), _FRAGMENT_SQL)
 
 
+def celled_fragments(contexts: DataFrame, least: int, shortest: int) -> DataFrame:
+    """The same for seeds of many occurrences: these are divided into sides by hash, and each cell of two sides, or of one with itself, is compared apart, so that no task holds a whole group."""
+    many = contexts.where(F.col("n") > PAIRED).withColumn("k", F.ceil(F.col("n") / SIDE)).withColumn("side", F.pmod(F.xxhash64("class_id", "pos"), F.col("k")))
+    rows = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    # cells that collide do no harm: seeds are compared too, and sides differ in every pair that is wanted
+    cell = F.xxhash64("seed", F.least("side", "other"), F.greatest("side", "other")).alias("cell")
+    rows = rows.select(cell, "class_id", "pos", "context", F.when(F.col("side") == F.col("other"), F.lit(-1)).otherwise(F.col("side")).cast("bigint").alias("side"))
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(lambda it: _paired(it, least - SEED, shortest), _FRAGMENT_SQL)
+
+
 def starred_fragments(contexts: DataFrame, sizes: DataFrame, least: int, shortest: int) -> DataFrame:
-    """The same for seeds of many occurrences, each with the first occurrence in the group's smallest class."""
+    """Fragments of seeds of many occurrences, each with the first occurrence in the group's smallest class alone."""
     many = contexts.where(F.col("n") > PAIRED).select("seed", "class_id", "pos", "context")
     heads = many.join(sizes.where(F.col("n") > PAIRED).select("seed", F.col("low").alias("class_id")), ["seed", "class_id"])
     heads = heads.groupBy("seed").agg(F.min_by(F.struct("class_id", "pos", "context"), "pos").alias("h")).select("seed", F.col("h.class_id").alias("other"), F.col("h.pos").alias("other_pos"), F.col("h.context").alias("other_context"))
@@ -299,10 +319,15 @@ def starred_fragments(contexts: DataFrame, sizes: DataFrame, least: int, shortes
     return rows.mapInArrow(lambda it: _starred(it, least - SEED, shortest), _FRAGMENT_SQL)
 
 
-def passages(fragments: DataFrame) -> DataFrame:
-    """A row for each chain of fragments of two texts, with its blocks."""
-    lists = fragments.groupBy("class_1", "class_2").agg(F.collect_set(F.struct("a", "b", "n")).alias("fragments"))
-    return lists.mapInArrow(_chained, _PASSAGE_SQL)
+def passages(fragments: DataFrame, least: int = 0) -> DataFrame:
+    """A row for each chain of fragments of two texts, with its blocks, of chains that reach over ``least`` characters in both texts."""
+    grouped, found = fragments.groupBy("class_1", "class_2"), F.collect_set(F.struct("a", "b", "n")).alias("fragments")
+    if not least:
+        return grouped.agg(found).mapInArrow(_chained, _PASSAGE_SQL)
+    # no chain reaches farther than all fragments of its texts
+    reach = F.least(*(F.max(F.col(x) + F.col("n")) - F.min(x) for x in "ab"))
+    lists = grouped.agg(found, reach.alias("reach")).where(F.col("reach") >= least).drop("reach")
+    return lists.mapInArrow(_chained, _PASSAGE_SQL).where(f"end_1 - start_1 >= {least} and end_2 - start_2 >= {least}")
 
 
 _ALIGNED = pa.schema([("class_1", pa.int64()), ("class_2", pa.int64()), *((x, pa.int32()) for x in ("start_1", "end_1", "start_2", "end_2")), ("score", pa.float64()), ("exact_chars", pa.int32()), ("edits", pa.int32())])
@@ -392,19 +417,20 @@ def shared_spans(records: DataFrame, least: int = 60) -> DataFrame:
     return single.unionByName(whole)
 
 
-def fuzzy_passages(records: DataFrame, least: int = 60) -> DataFrame:
+def fuzzy_passages(records: DataFrame, least: int = 60, every: bool = False) -> DataFrame:
     """Passages of ``least`` or more characters that two texts share but for some edits: where they lie, the chain's score, the characters that agree, and the edits.
 
-    Records of equal texts are one class, named by its smallest id. Of seeds of up to ``PAIRED`` occurrences every two texts are chained. A text that shares a commoner passage is chained
+    Records of equal texts are one class, named by its smallest id. With ``every``, all seeds that two texts share are chained, whatever the number of texts that hold them. Without,
+    this is so for seeds of up to ``PAIRED`` occurrences only, and a text that shares a commoner passage is chained
     with the text of smallest id among those that hold its seed: pairs of one text for each group and its members, in place of all pairs of a group.
     """
     texts, _ = _classes(records)
     occurrences, sizes = _seed_table(texts, least)
     contexts = cut(_with_context(texts, occurrences, least))
-    fragments = paired_fragments(contexts, least, SEED).unionByName(starred_fragments(contexts, sizes, least, SEED))
+    common = celled_fragments(contexts, least, SEED) if every else starred_fragments(contexts, sizes, least, SEED)
+    fragments = paired_fragments(contexts, least, SEED).unionByName(common)
     # a fragment that ends where its context does has ``least`` characters, so shorter chains can't be extended
-    long = passages(fragments).where(f"end_1 - start_1 >= {least} and end_2 - start_2 >= {least}")
-    return aligned(cut(long), texts).select(F.col("class_1").alias("doc_id_1"), F.col("class_2").alias("doc_id_2"), "start_1", "end_1", "start_2", "end_2", F.round("score", 3).alias("score"), "exact_chars", "edits")
+    return aligned(cut(passages(fragments, least)), texts).select(F.col("class_1").alias("doc_id_1"), F.col("class_2").alias("doc_id_2"), "start_1", "end_1", "start_2", "end_2", F.round("score", 3).alias("score"), "exact_chars", "edits")
 
 
 def shared_share(records: DataFrame, spans: DataFrame) -> DataFrame:

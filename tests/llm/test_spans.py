@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gramloom.llm import spans
+from gramloom.llm import catalogue, spans
 
 SCHEMA = "doc_id long, example_sequence string"
 
@@ -169,3 +169,29 @@ def test_texts_of_very_many_records(spark):
     same, other = "".join(chr(97 + i % 26) + str(i) for i in range(40)), "".join(chr(65 + i % 26) + str(i) for i in range(50))
     rows = [(i, same) for i in range(1, 1300)] + [(2000, other), (2001, "?" + other), (2002, same + "!")]
     assert found(spark, rows) == sorted([(i, 0, len(same)) for i in range(1, 1300)] + [(2000, 0, len(other)), (2001, 1, 1 + len(other)), (2002, 0, len(same))])
+
+
+def test_all_pairs_of_common_seeds_have_their_passages(spark, tmp_path):
+    rng = random.Random(12)
+    # texts 7 and 9 also share a passage of their own; 90 texts are more than one side of a cell
+    passage, own = text(rng, 200), text(rng, 200)
+    texts = {d: text(rng, 30 + d % 7) + (own + text(rng, 9) if d in (7, 9) else "") + passage + text(rng, 20) for d in range(90)}
+    spark.createDataFrame(list(texts.items()), SCHEMA).write.parquet(str(tmp_path / "toy.parquet"))
+    got = catalogue.p7_passages(spark, str(tmp_path)).collect()
+    rows = {(r["doc_id_1"], r["doc_id_2"]): r for r in got}
+    assert len(got) == len(rows) and set(rows) == {(a, b) for a in range(90) for b in range(a + 1, 90)}
+    assert all(r["exact_chars"] >= 200 for r in got)
+    # rare and common seeds stand in one chain
+    assert rows[7, 9]["end_1"] - rows[7, 9]["start_1"] > 400 and rows[7, 9]["exact_chars"] >= 400
+
+
+def test_cells_give_the_pairs_of_whole_groups(spark, monkeypatch):
+    rng = random.Random(13)
+    passages = [text(rng, 90) for _ in range(3)]
+    rows = [(d, text(rng, 10) + rng.choice(passages) + text(rng, 15) + (rng.choice(passages) if d % 3 else "") + text(rng, 10)) for d in range(70)] + [(100, "ab" * 45), (101, "ab" * 50)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    all_of = lambda: sorted(tuple(r) for r in spans.fuzzy_passages(frame, every=True).collect())
+    monkeypatch.setattr(spans, "SIDE", 5)
+    cells = all_of()
+    monkeypatch.setattr(spans, "PAIRED", 1_000_000)
+    assert cells == all_of() and len({r[:2] for r in cells}) > 1000
