@@ -5,7 +5,7 @@ quotation that an end mark precedes, and at blanks next to letters of a script w
 chain is decoded over these places alone, with Viterbi's algorithm.
 
 A place is described by its mark, what stands before and after it (kind of token, case, script, blank), whether a quotation is open, and how the words next to it behave in
-the documents. The weights of these features, and of the tags' transitions by distance, are learned from a bounded sample of documents as a conditional random
+the documents. The weights of these features, and of the tags' transitions by distance, are learned from all documents as a conditional random
 field over partly labelled chains: paragraphs are joined with their breaks taken out, so that the places of the breaks are known boundaries; places which the definition of
 a sentence settles are labelled, all others are left open and summed over. Text of a script without end marks is stripped of punctuation first. A few labelled sentences
 (``seeds``) are always among the examples. Nothing but the learned model decides when texts are split.
@@ -13,21 +13,28 @@ a sentence settles are labelled, all others are left open and summed over. Text
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.llm.seeds import SEEDS
 from gramloom.llm.tokens import uniform
+from gramloom.tables import cut
 
-#: Documents, and characters of each, that the model is learned from.
+#: Documents, and characters of each, of a ``sample``.
 SAMPLE, SAMPLE_CHARS = 1_000, 20_000
+#: Places that are held as one part in training, values of a slope that are added up at once, and values in all up to which that is done by the driver.
+PART, SLICE, DIRECT = 200_000, 50_000, 8_000_000
+#: Stretches whose sums are worked out at once.
+WIDE = 4_096
 #: Places in a stretch of a chain, passes over all stretches, and the weight of the squared weights in training.
 STRETCH, PASSES, RIDGE = 32, 60, 0.02
 
@@ -48,6 +55,7 @@ MONTHS = set("januar februar märz april mai juni juli august september oktober
 DAYS = set("am vom zum bis den dem der im".split())
 
 _STRONG = "!?！？؟。।॥።፧։"
+_STRONG_MARKS = frozenset(_STRONG)
 _FULL = "！？。।॥።፧։؟"
 _MARKS = _STRONG + "….;;"
 _CLOSERS = "\"'”’»)]」』）“"
@@ -73,9 +81,11 @@ _GOES_ON = re.compile(r"[؀-ۿऀ-ॿ぀-ヿ㐀-鿿豈-﫿＀-￯。！？।]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _LIST = re.compile(r"[^\S\n]*(?:- |\d+\) )")
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
 _PUNCTUATION = re.compile(r"[!?…;:,\"“”'()]|\.(?!\d)")
 _NUMBERED = re.compile(r"\d+\. ")
 _TOKENS = re.compile(r"[^\s.!?…,;:]+(?:\.[^\s.!?…,;:]+)*")
+_POINT_OR_NOT = re.compile(_TOKENS.pattern + r"\.?")
 #: Characters since the place before: close, near, far; after the end of a chain nothing is scored.
 _CLOSE_BY, _NEAR, _FAR, _OUTSIDE = range(4)
 
@@ -84,7 +94,7 @@ Key = tuple[str, str, str, str, str, bool, str]
 
 def _flat(text: str) -> str:
     """The text with blanks for all white space; places stay the same."""
-    for c in _SPACES:
+    for c in _ASCII_SPACES if text.isascii() else _SPACES:
         text = text.replace(c, " ")
     return text
 
@@ -146,7 +156,7 @@ def _shape(p: str, at: int) -> tuple[str, str]:
         if c.isupper():
             return "upper", w
         if c.islower():
-            return ("mixed" if any(x.isupper() for x in w[1:3]) else "lower"), w
+            return ("mixed" if w[1:2].isupper() or w[2:3].isupper() else "lower"), w
         return "letter", w
     return ("digit", "") if c.isdigit() else ("punct", c)
 
@@ -249,7 +259,7 @@ def places(p: str) -> Iterator[tuple[int, Key]]:
                     at = i + 1
                     continue
                 key = ("greek", "", "", shape, word, blank, "")
-            elif any(c in _STRONG for c in mark):
+            elif not _STRONG_MARKS.isdisjoint(mark):
                 key = ("strong", "", "", shape, word, blank, "full" if mark[-1] in _FULL else "")
             elif len(mark) > 1 or mark == "…":
                 b = i
@@ -275,36 +285,65 @@ def places(p: str) -> Iterator[tuple[int, Key]]:
         yield j, key
 
 
-def behaviour(texts: list[str]) -> tuple[dict[str, str], dict[str, str]]:
-    """How words behave in texts (paragraphs without outer white space), for words that occur three times or more.
+def tally(paragraphs: Iterable[str]) -> dict[str, list[int]]:
+    """Of each word in paragraphs: how often it occurs without a point; with a point, with a point and something that can't start a sentence, with a point at the end of a
+    paragraph; capitalised, capitalised at the start of a paragraph."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0] * 6)
+    # equal runs between blanks are looked at once; those that end with a point also by what follows
+    runs, ends, last = Counter(), Counter(), {}
+    for p in paragraphs:
+        own = p.split()
+        runs.update(own)
+        ends.update([(x, y[0]) for x, y in zip(own, [*own[1:], " "], strict=True) if x[-1] == "."])
+        m = _TOKENS.match(p)
+        token = m.group().lstrip(_OPENERS) if m else ""
+        if token[:1].isupper():
+            out[token.lower()][5] += 1
+    for run, k in runs.items():
+        for m in _POINT_OR_NOT.finditer(run):
+            raw, j = m.group(), m.end()
+            pointed = raw[-1] == "."
+            token = raw[: len(raw) - pointed].lstrip(_OPENERS)
+            row = out[token.lower()]
+            if token[:1].isupper():
+                row[4] += k
+            if not pointed:
+                row[0] += k
+            elif j == len(run):
+                last[run] = row
+            elif run[j] in ",;:)":
+                row[1] += k
+                row[2] += k * (run[j] != ")")
+    for (run, following), k in ends.items():
+        if run in last:
+            row = last[run]
+            row[1] += k
+            row[2] += k * (following.islower() or following in ",;:")
+            row[3] += k * (following == " ")
+    return out
+
+
+def classes(counts: Iterable[tuple[str, int, int, int, int, int, int]]) -> tuple[dict[str, str], dict[str, str]]:
+    """How words behave, by their tallies, for words that occur three times or more.
 
     Before a point: whether the word also occurs without one, how often something follows the point that can't start a sentence, and whether it ever ends a
     paragraph. After a place: how often the word, capitalised, starts paragraphs.
     """
-    plain, pointed, low, last, upper, starts = (Counter() for _ in range(6))
-    for p in texts:
-        for m in _TOKENS.finditer(p):
-            token, j = m.group().lstrip(_OPENERS), m.end()
-            name = token.lower()
-            if token[:1].isupper():
-                upper[name] += 1
-                starts[name] += m.start() == 0
-            if p[j : j + 1] != ".":
-                plain[name] += 1
-            elif p[j + 1 : j + 2] in ("", " ", ",", ";", ":", ")"):
-                pointed[name] += 1
-                nxt = p[j + 1 :].lstrip()[:1]
-                last[name] += nxt == ""
-                low[name] += nxt.islower() or nxt in ",;:" and nxt != ""
-    before = {}
-    for name, k in pointed.items():
-        if k + plain[name] >= 3:
-            share = low[name] / k
-            before[name] = ("always " if not plain[name] else "often " if plain[name] <= k else "seldom ") + ("none" if not share else "some" if share < 0.3 else "most") + (" last" if last[name] else "")
-    after = {name: "starts" if starts[name] > 0.2 * k else "some" if starts[name] else "never" for name, k in upper.items() if k >= 3}
+    before, after = {}, {}
+    for name, plain, pointed, low, last, upper, starts in counts:
+        if pointed and pointed + plain >= 3:
+            share = low / pointed
+            before[name] = ("always " if not plain else "often " if plain <= pointed else "seldom ") + ("none" if not share else "some" if share < 0.3 else "most") + (" last" if last else "")
+        if upper >= 3:
+            after[name] = "starts" if starts > 0.2 * upper else "some" if starts else "never"
     return before, after
 
 
+def behaviour(texts: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """How words behave in texts (paragraphs without outer white space): see :func:`classes`."""
+    return classes((name, *row) for name, row in tally(texts).items())
+
+
 def _size(token: str) -> str:
     return str(min(len(token), 6)) + ("." if "." in token else "")
 
@@ -440,14 +479,18 @@ def examples(model: Model, texts: list[str | None]) -> list[list[tuple[int, Key,
             for i in range(0, len(sentences) - every + 1):
                 text, ends = _joined(sentences[i : i + every])
                 chains.append([(e, key, int(e in ends or e == len(text))) for e, key in places(text)])
-    for text in texts:
-        parts = [p for p in _paragraphs(text or "") if _balanced(p)]
-        if any(_HAS_THAI.match(p[-1]) for p in parts):
-            parts = [q for q in (" ".join(_PUNCTUATION.sub("", p).split()) for p in parts) if q]
-        for i in range(0, len(parts), 6):
-            whole, ends = _joined(parts[i : i + 6])
-            numbers = {x + m.end() - 1 for x in (0, *(e + 1 for e in ends)) if (m := _NUMBERED.match(whole, x))}  # a number that starts a paragraph
-            chains.append([(e, key, 1 if e in ends else 0 if e in numbers else settled(model, key)) for e, key in places(whole)])
+    return [c for c in chains if c] + [c for text in texts for c in of_text(model, text)]
+
+
+def of_text(model: Model, text: str | None) -> list[list[tuple[int, Key, int | None]]]:
+    """The chains of the joined paragraphs of a text."""
+    chains, parts = [], [p for p in _paragraphs(text or "") if _balanced(p)]
+    if any(_HAS_THAI.match(p[-1]) for p in parts):
+        parts = [q for q in (" ".join(_PUNCTUATION.sub("", p).split()) for p in parts) if q]
+    for i in range(0, len(parts), 6):
+        whole, ends = _joined(parts[i : i + 6])
+        numbers = {x + m.end() - 1 for x in (0, *(e + 1 for e in ends)) if (m := _NUMBERED.match(whole, x))}  # a number that starts a paragraph
+        chains.append([(e, key, 1 if e in ends else 0 if e in numbers else settled(model, key)) for e, key in places(whole)])
     return [c for c in chains if c]
 
 
@@ -456,26 +499,37 @@ class _Chains:
 
     def __init__(self, chains: list[list[tuple[int, Key, int | None]]]) -> None:
         numbers: dict[Key, int] = {}
-        rows, spots, tags = [], [], []
-        for chain in chains:
-            last = 0
-            for i in range(0, len(chain), STRETCH):
-                row, spot, tag = ([x] * STRETCH for x in (0, _OUTSIDE, 2))
-                for k, (end, key, label) in enumerate(chain[i : i + STRETCH]):
-                    row[k], spot[k], tag[k] = numbers.setdefault(key, len(numbers) + 1), _spot(end, last), 2 if label is None else label
-                    last = end
-                rows.append(row)
-                spots.append(spot)
-                tags.append(tag)
+        chains = [c for c in chains if c]
+        row = np.array([numbers.setdefault(key, len(numbers) + 1) for chain in chains for _, key, _ in chain], np.int32)
+        tag = np.array([2 if label is None else label for chain in chains for _, _, label in chain], np.int8)
+        end = np.array([e for chain in chains for e, _, _ in chain], np.int64)
         self.keys = list(numbers)
-        order = np.argsort([sum(x == _OUTSIDE for x in s) for s in spots], kind="stable") if spots else np.zeros(0, int)
-        self.row, self.spot, tag = (np.array(x, np.int64).reshape(-1, STRETCH)[order].T.copy() for x in (rows, spots, tags))
-        self.barred = np.zeros((STRETCH, self.row.shape[1], 2))
-        self.barred[..., 1][tag == 0] = -1e6
-        self.barred[..., 0][tag == 1] = -1e6
-        #: Stretches that go on at each step; the longest come first.
+        sizes = np.array([len(c) for c in chains], np.int64)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(row)) - np.repeat(first, sizes)
+        gap = end - np.where(place > 0, np.roll(end, 1), 0)
+        spot = np.where(gap < 6, _CLOSE_BY, np.where(gap < 14, _NEAR, _FAR))
+        # the longest stretches come first
+        at = place % STRETCH
+        stretch = np.cumsum(at == 0) - 1
+        lengths = np.bincount(stretch) if len(row) else np.zeros(0, np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.row, self.spot, self.tag = (np.full((STRETCH, len(order)), x, kind) for x, kind in ((0, np.int32), (_OUTSIDE, np.int8), (2, np.int8)))
+        for whole, own in ((self.row, row), (self.spot, spot), (self.tag, tag)):
+            whole[at, rank[stretch]] = own
+        #: Stretches that go on at each step.
         self.there = (self.spot != _OUTSIDE).sum(axis=1)
 
+    @property
+    def barred(self) -> np.ndarray:
+        """What labels do not allow, as scores."""
+        out = np.zeros((*self.row.shape, 2))
+        out[..., 1][self.tag == 0] = -1e6
+        out[..., 0][self.tag == 1] = -1e6
+        return out
+
     def marginals(self, scores: np.ndarray, transitions: np.ndarray, barred: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """How probable a boundary is at each place, and the expected transitions, by forward and backward sums."""
         steps, n = self.row.shape
@@ -514,6 +568,110 @@ class _Chains:
         return boundary, expected
 
 
+def _stepped(spot: np.ndarray, *others: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Blocks of stretches without the ends that they lack, one step after another: [stretches at each step, distances, others...]."""
+    for i in range(0, spot.shape[1], WIDE):
+        part = slice(i, i + WIDE)
+        inside = spot[:, part] != _OUTSIDE
+        there = inside.sum(axis=1)
+        yield [there[there > 0], *(x[:, part][inside] for x in (spot, *others))]
+
+
+def _sums(own: np.ndarray, there: np.ndarray, spot: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :meth:`_Chains.marginals`, from the ratio of boundary to inside at each place of a block: 0 and very large ones are labels."""
+    spot, moves = spot.astype(np.intp), np.exp(transitions)
+    # relative to staying inside
+    ib, bi, bb = (x[spot] for x in (moves[0, 1] / moves[0, 0], moves[1, 0] / moves[0, 0], moves[1, 1] / moves[0, 0]))
+    starts = np.cumsum(there) - there
+    # (places of a step, the places before them)
+    steps = [(slice(a, a + m), slice(b, b + m)) for b, a, m in zip(starts, starts[1:], there[1:], strict=False)]
+    first = slice(0, there[0])
+    ahead, later, both, before = np.empty(len(own)), np.ones(len(own)), np.empty(len(own)), np.ones(len(own))
+    ahead[first] = own[first] * bb[first] / bi[first]
+    for now, last in steps:
+        x = ahead[last]
+        ahead[now] = own[now] * (ib[now] + x * bb[now]) / (1 + x * bi[now])
+    for now, last in reversed(steps):
+        x, y, on = ahead[last], own[now] * later[now], bi[now]
+        stay, enter = y * bb[now], 1 + y * ib[now]
+        later[last] = (on + stay) / enter
+        stay *= x
+        both[now] = stay / (enter + x * on + stay)
+    boundary = ahead * later
+    boundary /= 1 + boundary
+    # the tag before the first place is a boundary
+    both[first] = boundary[first]
+    for now, last in steps:
+        before[now] = boundary[last]
+    every, two, one, old = (np.bincount(spot, x, minlength=4) for x in (None, both, boundary, before))
+    expected = np.zeros((2, 2, 4))
+    expected[1, 1], expected[0, 1], expected[1, 0], expected[0, 0] = two, one - two, old - two, every - one - old + two
+    return boundary, expected
+
+
+class _Part:
+    """Stretches as blocks, the numbers of their places' features, and what follows from wholly labelled stretches alone: all that a pass needs."""
+
+    def __init__(self, data: _Chains, lists: list[list[int]]) -> None:
+        self.n_keys = len(lists)
+        self.key_of = np.repeat(np.arange(1, self.n_keys + 1), [len(x) for x in lists]).astype(np.int32)
+        self.name_of = np.array([f for x in lists for f in x], np.int32)
+        left = ((data.tag == 2) & (data.spot != _OUTSIDE)).any(axis=0)
+        self.blocks = list(_stepped(data.spot, data.row))
+        self.open = list(_stepped(data.spot[:, left], data.row[:, left], data.tag[:, left]))
+        tag, spot = data.tag[:, ~left], data.spot[:, ~left]
+        here = spot != _OUTSIDE
+        self.labelled = np.bincount(data.row[:, ~left][here], tag[here], minlength=self.n_keys + 1).astype(float)
+        before = np.concatenate([np.ones((1, tag.shape[1]), np.int8), tag[:-1]])
+        self.moves = np.bincount((before[here] * 8 + tag[here] * 4 + spot[here]).astype(np.int64), minlength=16).reshape(2, 2, 4).astype(float)
+
+    def number(self, names: list[str], numbers: dict[str, int]) -> _Part:
+        """The part itself, with the numbers that its features have among all; features that have none are left out."""
+        new = np.array([numbers.get(f, -1) for f in names], np.int32)[self.name_of]
+        self.key_of, self.name_of = self.key_of[new >= 0], new[new >= 0]
+        return self
+
+    def slope(self, weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+        """How the likelihood of the labels grows with each weight, and with each transition."""
+        scores = np.bincount(self.key_of, weights[self.name_of], minlength=self.n_keys + 1)
+        ratios = np.exp(np.clip(scores, -200, 200))
+        per_key, moves = self.labelled.copy(), self.moves.copy()
+        for there, spot, row in self.blocks:
+            boundary, expected = _sums(ratios[row], there, spot, transitions)
+            per_key -= np.bincount(row, boundary, minlength=len(per_key))
+            moves -= expected
+        for there, spot, row, tag in self.open:
+            boundary, expected = _sums(np.where(tag == 2, ratios[row], np.where(tag == 1, 1e60, 0.0)), there, spot, transitions)
+            per_key += np.bincount(row, boundary, minlength=len(per_key))
+            moves += expected
+        return np.concatenate([np.bincount(self.name_of, per_key[self.key_of], minlength=len(weights)), moves.ravel()])
+
+
+def _named(model: Model, chains: list[list[tuple[int, Key, int | None]]]) -> tuple[_Part, list[str], np.ndarray]:
+    """Chains as a part, with its features and the times of each."""
+    data = _Chains(chains)
+    names: dict[str, int] = {}
+    part = _Part(data, [[names.setdefault(f, len(names)) for f in features(model, key)] for key in data.keys])
+    times = np.bincount(data.row.ravel(), minlength=part.n_keys + 1)
+    return part, list(names), np.bincount(part.name_of, times[part.key_of], minlength=len(names)).astype(np.int64)
+
+
+def _climbed(model: Model, names: list[str], slope_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Model:
+    """The model with the weights of features and transitions that are learned in ``PASSES`` passes."""
+    weights, moves = np.zeros(len(names)), np.zeros((2, 2, 4))
+    # steps of the size of a running mean over a running deviation
+    now = np.concatenate([weights, moves.ravel()])
+    mean, square = np.zeros_like(now), np.zeros_like(now)
+    for i in range(1, PASSES + 1):
+        slope = slope_of(weights, moves) - RIDGE * now
+        mean, square = 0.8 * mean + 0.2 * slope, 0.95 * square + 0.05 * slope * slope
+        now = now + 0.3 * (1 - i / (PASSES + 5)) * (mean / (1 - 0.8**i)) / (np.sqrt(square / (1 - 0.95**i)) + 1e-6)
+        weights, moves = now[: len(names)], now[len(names) :].reshape(2, 2, 4)
+    model.weights = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
+    model.transitions = moves.tolist()
+    return model
+
+
 def train(texts: list[str | None]) -> Model:
     """The model of a list of texts, in any case of the seeds. Equal inputs give equal models.
 
@@ -522,32 +680,112 @@ def train(texts: list[str | None]) -> Model:
     own = [p for text in texts for p in _paragraphs(text or "")]
     before, after = behaviour(own + [s for sentences in SEEDS for s in sentences])
     model = Model(before=before, after=after)
-    chains = _Chains(examples(model, texts))
-    times = np.bincount(chains.row.ravel(), minlength=len(chains.keys) + 1)
-    lists = [features(model, key) for key in chains.keys]
-    seen: dict[str, int] = defaultdict(int)
-    for i, names in enumerate(lists):
-        for f in names:
-            seen[f] += int(times[i + 1])
-    names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
-    key_of = np.array([i + 1 for i, fs in enumerate(lists) for f in fs if f in names], np.int64)
-    name_of = np.array([names[f] for fs in lists for f in fs if f in names], np.int64)
-    weights, moves = np.zeros(len(names)), np.zeros((2, 2, 4))
-    # steps of the size of a running mean over a running deviation
-    flat = lambda: np.concatenate([weights, moves.ravel()])
-    mean, square = np.zeros_like(flat()), np.zeros_like(flat())
-    for i in range(1, PASSES + 1):
-        scores = np.bincount(key_of, weights[name_of], minlength=len(chains.keys) + 1)
-        free, free_moves = chains.marginals(scores, moves, None)
-        tied, tied_moves = chains.marginals(scores, moves, chains.barred)
-        per_key = np.bincount(chains.row.ravel(), (tied - free).ravel(), minlength=len(chains.keys) + 1)
-        slope = np.concatenate([np.bincount(name_of, per_key[key_of], minlength=len(names)) - RIDGE * weights, (tied_moves - free_moves - RIDGE * moves).ravel()])
-        mean, square = 0.8 * mean + 0.2 * slope, 0.95 * square + 0.05 * slope * slope
-        now = flat() + 0.3 * (1 - i / (PASSES + 5)) * (mean / (1 - 0.8**i)) / (np.sqrt(square / (1 - 0.95**i)) + 1e-6)
-        weights, moves = now[: len(names)], now[len(names) :].reshape(2, 2, 4)
-    model.weights = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}
-    model.transitions = moves.tolist()
-    return model
+    part, found, times = _named(model, examples(model, texts))
+    names = sorted(f for f, n in zip(found, times, strict=True) if n >= 3)
+    return _climbed(model, names, part.number(found, {f: i for i, f in enumerate(names)}).slope)
+
+
+_COUNTS = ("plain", "pointed", "low", "last", "upper", "starts")
+_TALLY = pa.schema([("name", pa.string()), *((c, pa.int64()) for c in _COUNTS)])
+_TALLY_SQL = "name string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+_NAMED_SQL = "part binary, names array<string>, times array<bigint>"
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to the tallies of words, added up over many texts."""
+    total: dict[str, list[int]] = {}
+
+    def rows() -> pa.RecordBatch:
+        names, counts = list(total), np.array(list(total.values()), np.int64).reshape(-1, len(_COUNTS))
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T.copy())], schema=_TALLY)
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 5_000):
+            for name, row in tally(p for text in batch.column(0).slice(i, 5_000).to_pylist() for p in _paragraphs(text)).items():
+                total[name] = [a + b for a, b in zip(total[name], row, strict=True)] if name in total else row
+            if len(total) > 200_000:
+                yield rows()
+    if total:
+        yield rows()
+
+
+def _named_parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(text) to parts of about ``PART`` places, their features and the times of each."""
+    chains, n = [], 0
+
+    def row() -> pa.RecordBatch:
+        part, names, times = _named(model, chains)
+        chains.clear()
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary()), pa.array([names], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int64()))], names=["part", "names", "times"])
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 50):
+            for text in batch.column(0).slice(i, 50).to_pylist():
+                new = of_text(model, text)
+                chains += new
+                n += sum(map(len, new))
+                if n >= PART:
+                    yield row()
+                    n = 0
+    if chains:
+        yield row()
+
+
+def fitted(spark: SparkSession, documents: DataFrame) -> Model:
+    """The model of all documents, in any case of the seeds: as :func:`train`, but nothing of the size of the documents is held in one place.
+
+    Words are counted, examples made and kept in the shared folder, and each pass adds up the slopes of all parts. What is collected and sent along grows with the words that
+    occur three times or more next to places. Sums depend on how rows are partitioned in their last digits.
+    """
+    texts = documents.where("text is not null and text <> ''").select("text")
+    seeds = [(name, *row) for name, row in tally(s for sentences in SEEDS for s in sentences).items()]
+    words = texts.mapInArrow(_tallies, _TALLY_SQL).unionByName(spark.createDataFrame(seeds, _TALLY_SQL).coalesce(1)).groupBy("name").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    before, after = classes(tuple(r) for r in words.where("pointed > 0 and pointed + plain >= 3 or upper >= 3").select("name", *_COUNTS).collect())
+    model = Model(before=before, after=after)
+    sent = spark.sparkContext.broadcast((before, after))
+    part, names, times = _named(model, examples(model, []))
+    own = spark.createDataFrame([(pickle.dumps(part), names, times.tolist())], _NAMED_SQL).coalesce(1)
+    parts = cut(texts.mapInArrow(lambda it: _named_parts(it, Model(before=sent.value[0], after=sent.value[1])), _NAMED_SQL).unionByName(own))
+    seen = parts.select(F.explode(F.arrays_zip("names", "times")).alias("x")).groupBy("x.names").agg(F.sum("x.times").alias("n")).where("n >= 3")
+    names = sorted(r["names"] for r in seen.select("names").collect())
+    numbers = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(pickle.loads(part.as_py()).number(found.as_py(), numbers.value))], pa.binary())], names=["part"])
+
+    rows = cut(parts.select("part", "names").mapInArrow(number, "part binary"))
+    return _climbed(model, names, lambda weights, moves: _slope(rows, weights, moves))
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    rows = sorted(zip(table["task"].to_pylist(), table["slope"].to_pylist(), strict=True))
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "slope": pa.array([sum(np.frombuffer(x) for _, x in rows).tobytes()], pa.binary())})
+
+
+def _slope(parts: DataFrame, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The sum of the slopes of all parts. Slopes of very many values are added up in slices by the executors."""
+    size = len(weights) + moves.size
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for part in batch.column(0):
+                total += pickle.loads(part.as_py()).slope(weights, moves)
+        n, task = -(-size // SLICE), TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([total[i * SLICE : (i + 1) * SLICE].tobytes() for i in range(n)], pa.binary())], names=["slice", "task", "slope"])
+
+    schema = "slice int, task int, slope binary"
+    slopes = parts.mapInArrow(one, schema)
+    if parts.rdd.getNumPartitions() * size > DIRECT:
+        slopes = slopes.groupBy("slice").applyInArrow(_added, schema)
+    total = np.zeros(size)
+    for r in sorted(slopes.collect()):
+        x = np.frombuffer(r["slope"])
+        total[r["slice"] * SLICE : r["slice"] * SLICE + len(x)] += x
+    return total
 
 
 _SQL = "doc_id bigint, sent_start int, sent_end int"
@@ -555,7 +793,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("sent_start", pa.int32()), ("sent_e
 
 
 def sample(documents: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
-    """The texts that the model is learned from: those of the ``size`` smallest hashes of ids, ``chars`` characters of each. Doesn't depend on how rows are partitioned."""
+    """Texts for a model of a part of the documents: those of the ``size`` smallest hashes of ids, ``chars`` characters of each. Doesn't depend on how rows are partitioned."""
     drawn = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("u", uniform("doc_id", seed=5))
     share = min(1.0, 1.5 * size / max(1, documents.count()))
     near = drawn.where(F.col("u") < share)
@@ -569,14 +807,13 @@ def sample(documents: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS)
 def sentences(spark: SparkSession, documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, sent_start, sent_end) of every sentence of every document, in code points; ends are exclusive.
 
-    ``documents`` has (doc_id, text). Without a ``model``, one is trained on a bounded ``sample`` of the documents; its weights, some
-    thousands, are sent along. Null, empty and blank texts have no sentences. Repeated documents repeat theirs.
+    ``documents`` has (doc_id, text). Without a ``model``, one is ``fitted`` to all documents; it is sent along. Null, empty and blank texts have no sentences. Repeated documents repeat theirs.
     """
     if model is None:
-        model = train(sample(documents))
+        model = fitted(spark, documents)
     own = spark.sparkContext.broadcast((model.weights, model.transitions, model.before, model.after))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model(*own.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -590,4 +827,4 @@ def sentences(spark: SparkSession, documents: DataFrame, model: Model | None = N
                 if ids:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(ids, np.int64))), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=_ARROW)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, _SQL)
+    return documents.select("doc_id", "text").mapInArrow(divided, _SQL)

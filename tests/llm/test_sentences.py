@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from gramloom.llm import catalogue
 from gramloom.llm import sentences as S
 
 TEXTS = [t[: S.SAMPLE_CHARS] for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
@@ -177,3 +178,49 @@ def test_frame(spark):
     got = [tuple(r) for r in S.sentences(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 4), (1, 5, 9), (None, 0, 6), (1, 0, 4), (1, 5, 9)], key=str)
     assert S.sentences(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_model_comes_from_all_documents(spark, tmp_path):
+    # an abbreviation that no list has, in one of 1,900 documents and behind 30,000 characters of its text
+    word = "zq"
+    rare = "The rule holds. " * 2_000 + " ".join(f"It is of {word}. size {i} here." for i in range(60))
+    texts = ["One rule holds. Two fail."] * 1_900 + [rare]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = S.fitted(spark, frame)
+    assert model.before[word].startswith("always most") and any(f.startswith(f".p {word}") for f in model.weights)
+    want = S.train(texts)
+    assert (model.before, model.after) == (want.before, want.after) and set(model.weights) == set(want.weights)
+    assert [model.weights[f] for f in want.weights] == pytest.approx(list(want.weights.values()), abs=1e-6)
+    assert np.array(model.transitions) == pytest.approx(np.array(want.transitions), abs=1e-6)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["sent_start"], r["sent_end"]) for r in catalogue.p10_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, *x) for i, t in enumerate(texts) for x in S.split(t, want)}
+
+
+def test_slopes_in_slices_are_the_same(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:60])], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "PASSES", 4)
+    whole = S.fitted(spark, frame)
+    for name, value in (("SLICE", 100), ("DIRECT", 0), ("PART", 500)):
+        monkeypatch.setattr(S, name, value)
+    parts = S.fitted(spark, frame)
+    assert set(whole.weights) == set(parts.weights) and [parts.weights[f] for f in whole.weights] == pytest.approx(list(whole.weights.values()), abs=1e-6)
+
+
+def test_sums_of_ratios_are_those_of_scores():
+    rng = random.Random(8)
+    chains = [[(10 * i + rng.randint(1, 9), (".", "word", str(rng.randint(0, 9)), "upper", "", True, ""), rng.choice([0, 1, None])) for i in range(n)] for n in (1, 2, 5, 40)]
+    data = S._Chains(chains)
+    scores = np.array([0.0, *(rng.uniform(-3, 3) for _ in data.keys)])
+    moves = np.array([[[rng.uniform(-1, 1) for _ in range(3)] + [0.0] for _ in range(2)] for _ in range(2)])
+    ratios, inside = np.exp(scores)[data.row], data.spot != S._OUTSIDE
+    for barred, own in ((None, ratios), (data.barred, np.where(data.tag == 2, ratios, np.where(data.tag == 1, 1e60, 0.0)))):
+        want = data.marginals(scores, moves, barred)
+        ((there, spot, x),) = S._stepped(data.spot, own)
+        got = S._sums(x, there, spot, moves)
+        assert got[0] == pytest.approx(want[0][inside], abs=1e-9) and got[1] == pytest.approx(want[1], abs=1e-9)
+
+
+def test_empty_documents_leave_the_seeds(spark):
+    frame = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert set(S.fitted(spark, frame).weights) == set(S.train([]).weights)
