@@ -116,13 +116,13 @@ def p9_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document."""
-    return sentences.sentences(spark, table(spark, folder, "documents")).distinct()
+    return sentences.distinct_sentences(spark, table(spark, folder, "documents"))
 
 
 def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences and their characters per language tag."""
     documents = table(spark, folder, "documents")
-    found = sentences.sentences(spark, documents).distinct()
+    found = sentences.distinct_sentences(spark, documents)
     per = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("c"))
     return documents.select("doc_id", F.lower("lang").alias("lang")).join(per, "doc_id").groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.sum("c").alias("n_chars"))
 

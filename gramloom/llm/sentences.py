@@ -13,10 +13,12 @@ a sentence settles are labelled, all others are left open and summed over. Text
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +39,12 @@ PART, SLICE, DIRECT = 200_000, 50_000, 8_000_000
 WIDE = 4_096
 #: Places in a stretch of a chain, passes over all stretches, and the weight of the squared weights in training.
 STRETCH, PASSES, RIDGE = 32, 60, 0.02
+#: Tokens, and descriptions of places, that a task keeps what it worked out about.
+KNOWN = 200_000
+#: Parts in a task of a pass, about.
+PARTS_EACH = 8
+#: Repeated ids of documents (some 30 bytes each) up to which they are broadcast; beyond, all sentences are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 # Titles and the like, written with a capital; a name follows their point.
 TITLES = set("Dr Mr Mrs Ms Prof St Mt Capt Sgt Hr Fr Mme Mlle Sr Sra Srta Dra EE Проф См Акад".split())
@@ -72,20 +80,23 @@ _SCAN = re.compile(rf"[{_FIRST}]{_TAIL})")
 _SCAN_THAI = re.compile(rf"[ {_FIRST}]{_TAIL}|(?<= ) *(?=\S))")
 _INNER = re.compile(r"[.!?！？؟。।॥።፧։…]+")
 _HAS_THAI = re.compile(_THAI)
+_QUOTES = re.compile(r"[\"“”„«»「」]")
 _SINGLE = re.compile(r"(?<=\S)'(?!\w)")
 _DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]+")
 _NUMBER = re.compile(r"[-+]?\d[\d.,]*%?")
-_WORD = re.compile(r"[^\W\d_]+")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _GOES_ON = re.compile(r"[؀-ۿऀ-ॿ぀-ヿ㐀-鿿豈-﫿＀-￯。！？।]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_LIST = re.compile(r"[^\S\n]*(?:- |\d+\) )")
+#: A list line, or a blank one.
+_BREAK = re.compile(r"^[^\S\n]*+(?:(- |\d+\) ).*|$)", re.MULTILINE)
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _ASCII_SPACES = [c for c in _SPACES if c.isascii()]
 _PUNCTUATION = re.compile(r"[!?…;:,\"“”'()]|\.(?!\d)")
 _NUMBERED = re.compile(r"\d+\. ")
 _TOKENS = re.compile(r"[^\s.!?…,;:]+(?:\.[^\s.!?…,;:]+)*")
 _POINT_OR_NOT = re.compile(_TOKENS.pattern + r"\.?")
+#: What follows a place, behind blanks and opening marks: a word, another character, or nothing.
+_FOLLOWING = re.compile(rf" *[{re.escape(_OPENERS)}]*([^\W\d_]+|.)?", re.DOTALL)
 #: Characters since the place before: close, near, far; after the end of a chain nothing is scored.
 _CLOSE_BY, _NEAR, _FAR, _OUTSIDE = range(4)
 
@@ -99,6 +110,26 @@ def _flat(text: str) -> str:
     return text
 
 
+class _Kept(dict):
+    """What a function gives, worked out once for each of up to ``KNOWN`` values."""
+
+    def __init__(self, of: Callable) -> None:
+        self.of = of
+
+    def __missing__(self, value: object) -> object:
+        found = self.of(value)
+        if len(self) < KNOWN:
+            self[value] = found
+        return found
+
+
+class Known:
+    """What follows from pieces of text alone: kinds of tokens, shapes of what follows places, and descriptions of points within numbers and the like."""
+
+    def __init__(self) -> None:
+        self.kinds, self.shapes, self.glued = _Kept(_kind), _Kept(_shape), _Kept(_glued)
+
+
 @dataclass
 class Model:
     """Learned weights of features and transitions (tag before, tag, distance), and how words behave: see :func:`behaviour`."""
@@ -107,73 +138,53 @@ class Model:
     transitions: list = field(default_factory=lambda: np.zeros((2, 2, 4)).tolist())
     before: dict[str, str] = field(default_factory=dict)
     after: dict[str, str] = field(default_factory=dict)
-    kept: dict[Key, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.scores, self.labels, self.known = _Kept(self.score), _Kept(lambda key: settled(self, key)), Known()
 
     def score(self, key: Key) -> float:
         """How much more a place looks like a boundary than like an inside."""
-        score = self.kept.get(key)
-        if score is None:
-            weights = self.weights
-            score = sum(weights.get(f, 0.0) for f in features(self, key))
-            if len(self.kept) < 200_000:
-                self.kept[key] = score
-        return score
+        weight = self.weights.get
+        return sum([weight(f, 0.0) for f in features(self, key)])
 
 
 def units(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, is it a list line) of the parts that no sentence crosses: paragraphs between blank lines, and list lines."""
-    start, at, n = None, 0, len(text)
-    while at < n:
-        end = text.find("\n", at)
-        end = n if end < 0 else end
-        if _LIST.match(text, at, end):
-            if start is not None:
-                yield start, at, False
-                start = None
-            yield at, end, True
-        elif not text[at:end].strip():
-            if start is not None:
-                yield start, at, False
-                start = None
-        elif start is None:
-            start = at
-        at = end + 1
-    if start is not None:
+    start, n = 0, len(text)
+    for m in _BREAK.finditer(text):
+        a, b = m.span()
+        if start < a:
+            yield start, a, False
+        if m[1]:
+            yield a, b, True
+        start = b + 1
+    if start < n:
         yield start, n, False
 
 
-def _shape(p: str, at: int) -> tuple[str, str]:
-    """(kind, word) of what follows: upper, lower, mixed (mRNA), digit, other letters, punctuation or none. Opening marks are passed over."""
-    n = len(p)
-    while at < n and p[at] in _OPENERS:
-        at += 1
-    if at >= n:
+def _shape(c: str | None) -> tuple[str, str]:
+    """(kind, word) of what follows a place: upper, lower, mixed (mRNA), digit, other letters, punctuation or none. ``c``: a word or another character."""
+    if not c:
         return "none", ""
-    c = p[at]
-    if c.isalpha():
-        word = _WORD.match(p, at)
-        w = word.group() if word else c
-        if c.isupper():
-            return "upper", w
-        if c.islower():
-            return ("mixed" if w[1:2].isupper() or w[2:3].isupper() else "lower"), w
-        return "letter", w
-    return ("digit", "") if c.isdigit() else ("punct", c)
-
-
-def _before(p: str, at: int, since: int = 0) -> str:
-    """The token that ends before a place and starts at ``since`` or later, without opening marks."""
-    return p[max(p.rfind(" ", 0, at) + 1, since) : at].lstrip(_OPENERS)
-
-
-def _kind(p: str, at: int, since: int = 0) -> tuple[str, str]:
-    """(kind, token) of the token before a point: never, maybe, initial, integer, number, word or none."""
-    token = _before(p, at, since)
+    if c[0].isalpha():
+        if c[0].isupper():
+            return "upper", c
+        if c[0].islower():
+            return ("mixed" if c[1:2].isupper() or c[2:3].isupper() else "lower"), c
+        return "letter", c
+    return ("digit", "") if c[0].isdigit() else ("punct", c[0])
+
+
+def _kind(token: str, after: bool | None = None) -> tuple[str, str]:
+    """(kind, token) of the token before a point: never, maybe, initial, integer, number, word or none. ``after``: whether the word that ``AFTER`` asks for is before the
+    token; "after" is given where that decides and is not told."""
     low = token.lower()
     if low in MAYBE:
         return "maybe", low
-    if token in TITLES or low in NEVER or low in AFTER and p[:at].endswith(AFTER[low] + " " + token):
+    if token in TITLES or low in NEVER or low in AFTER and after:
         return "never", low
+    if low in AFTER and after is None:
+        return "after", low
     if len(token) == 1 and token.isalpha():
         return "initial", low
     if not token:
@@ -186,13 +197,16 @@ def _kind(p: str, at: int, since: int = 0) -> tuple[str, str]:
     return "word", low
 
 
-def _next(p: str, j: int) -> tuple[str, str, bool]:
+def _glued(three: str) -> Key | None:
+    """The description of a point by the three characters behind it, if the first is a digit or starts a word in lower case."""
+    m = _FOLLOWING.match(three)[1] if three[:1].isalnum() else None
+    shape = _shape(m)[0]
+    return (".", "glued", "", shape, "", False, "") if shape in ("digit", "lower") else None
+
+
+def _next(p: str, j: int, known: Known) -> tuple[str, str, bool]:
     """(shape, word, blank between) of what follows a place."""
-    k = j
-    while k < len(p) and p[k] == " ":
-        k += 1
-    shape, word = _shape(p, k)
-    return shape, word, k > j or k >= len(p)
+    return *known.shapes[_FOLLOWING.match(p, j)[1]], j >= len(p) or p[j] == " "
 
 
 def _side(c: str) -> str:
@@ -202,16 +216,20 @@ def _side(c: str) -> str:
     return "digit" if c.isdigit() else "letter" if c.isalpha() else "mark"
 
 
-def places(p: str) -> Iterator[tuple[int, Key]]:
+def places(p: str, known: Known) -> Iterator[tuple[int, Key]]:
     """(end of a possible sentence, description) over a paragraph whose white space is blanks."""
     at, since, n = 0, 0, len(p)
+    kinds, shapes, glued, follows = known.kinds, known.shapes, known.glued, _FOLLOWING.match
     scan = (_SCAN_THAI if _HAS_THAI.search(p) else _SCAN).search
-    while True:
-        found = scan(p, at)
-        if not found:
-            return
-        i, j = found.start(), found.end()
+    while found := scan(p, at):
+        i, j = found.span()
         mark = p[i]
+        if mark == "." and j == i + 1:
+            key = glued[p[j : j + 3]]
+            if key:
+                at = j
+                yield j, key
+                continue
         if mark in _CLOSE:
             if mark == "'":
                 shut = _SINGLE.search(p, j)
@@ -227,7 +245,7 @@ def places(p: str) -> Iterator[tuple[int, Key]]:
                 last -= 1
             for inner in _INNER.finditer(p, j, last):
                 if inner.end() < last:
-                    shape, word, blank = _next(p, inner.end())
+                    shape, word, blank = _next(p, inner.end(), known)
                     yield inner.end(), ("inner", "", inner.group()[-1], shape, "", blank, "open" if k < 0 else "shut")
             if k < 0:
                 return  # open to the end of the paragraph
@@ -240,7 +258,7 @@ def places(p: str) -> Iterator[tuple[int, Key]]:
             while b > i and p[b] in _MARKS:
                 b -= 1
             at = j
-            key = ("close", "", "", *_next(p, j), "on" if _GOES_ON.match(p[b]) or _GOES_ON.match(p[last - 1]) else "")
+            key = ("close", "", "", *_next(p, j, known), "on" if _GOES_ON.match(p[b]) or _GOES_ON.match(p[last - 1]) else "")
         elif mark == " ":
             at = j
             one, two = _side(p[i - 1]) if i else "mark", _side(p[j]) if j < n else "mark"
@@ -249,78 +267,108 @@ def places(p: str) -> Iterator[tuple[int, Key]]:
             key = ("blank", one, p[max(0, i - 4) : i] if one == "own" else "", two, p[j : j + 4] if two == "own" else "", True, "")
             j = i
         else:
-            mark = found.group()
+            mark, at = p[i:j], j
             while j < n and p[j] in _CLOSERS and not (p[j] in "\"'“" and j + 1 < n and p[j + 1].isalnum()):
                 j += 1
-            shape, word, blank = _next(p, j)
-            at = max(j, found.end())
-            if mark[0] in ";;":
+            shape, word = shapes[follows(p, j)[1]]
+            blank = j >= n or p[j] == " "
+            if mark == "." or mark == "\u037e":
+                if not blank and (shape == "digit" or shape == "lower") and j == i + 1:
+                    at = j
+                    yield j, (".", "glued", "", shape, "", False, "")
+                    continue
+                token = p[p.rfind(" ", since, i) + 1 or since : i].lstrip(_OPENERS)
+                kind, low = kinds[token]
+                extra = ""
+                if kind == "after":
+                    kind, low = _kind(token, p.endswith(AFTER[low] + " " + token, 0, i))
+                elif kind == "integer" and shape != "none":
+                    b = i - len(token)
+                    while b > 0 and p[b - 1] == " ":
+                        b -= 1
+                    extra = "day" if word.lower() in MONTHS or p[p.rfind(" ", 0, b) + 1 : b].lower() in DAYS else ""
+                key = (".", kind, low, shape, word, blank, extra)
+                # the next token starts here, unless this point is one inside a short token
+                if not blank and len(low) < 3 and kind != "integer":
+                    at = j
+                    yield j, key
+                    continue
+            elif mark[0] in ";;":
                 if mark[0] == ";" and not _GREEK.search(p, since, i):
                     at = i + 1
                     continue
                 key = ("greek", "", "", shape, word, blank, "")
             elif not _STRONG_MARKS.isdisjoint(mark):
                 key = ("strong", "", "", shape, word, blank, "full" if mark[-1] in _FULL else "")
-            elif len(mark) > 1 or mark == "…":
+            else:
                 b = i
                 while b > 0 and p[b - 1] == " ":
                     b -= 1
                 key = ("ellipsis", "", "", shape, word, blank, "cjk" if b > 0 and _CJK.match(p[b - 1]) else "")
-            elif not blank and (shape == "digit" or shape == "lower") and j == i + 1:
-                key = (".", "glued", "", shape, "", False, "")
-                yield j, key
-                continue
-            else:
-                kind, token = _kind(p, i, since)
-                extra = ""
-                if kind == "integer":
-                    head = p[: i - len(_before(p, i, since))].rstrip().rsplit(" ", 1)[-1].lower()
-                    extra = "day" if shape != "none" and (word.lower() in MONTHS or head in DAYS) else ""
-                key = (".", kind, token, shape, word, blank, extra)
-                # the next token starts here, unless this point is one inside a short token
-                if not blank and len(token) < 3 and kind != "integer":
-                    yield j, key
-                    continue
-            since = j
+            at = since = j
         yield j, key
 
 
-def tally(paragraphs: Iterable[str]) -> dict[str, list[int]]:
-    """Of each word in paragraphs: how often it occurs without a point; with a point, with a point and something that can't start a sentence, with a point at the end of a
-    paragraph; capitalised, capitalised at the start of a paragraph."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0] * 6)
-    # equal runs between blanks are looked at once; those that end with a point also by what follows
-    runs, ends, last = Counter(), Counter(), {}
-    for p in paragraphs:
-        own = p.split()
-        runs.update(own)
-        ends.update([(x, y[0]) for x, y in zip(own, [*own[1:], " "], strict=True) if x[-1] == "."])
-        m = _TOKENS.match(p)
-        token = m.group().lstrip(_OPENERS) if m else ""
-        if token[:1].isupper():
-            out[token.lower()][5] += 1
-    for run, k in runs.items():
-        for m in _POINT_OR_NOT.finditer(run):
-            raw, j = m.group(), m.end()
-            pointed = raw[-1] == "."
-            token = raw[: len(raw) - pointed].lstrip(_OPENERS)
-            row = out[token.lower()]
+class _Tally:
+    """Counts of runs between blanks, of runs that end with a point by what follows, and of runs at the start of paragraphs: equal ones are looked at once."""
+
+    def __init__(self) -> None:
+        self.runs, self.ends, self.firsts = Counter(), Counter(), Counter()
+
+    def add(self, paragraphs: list[str]) -> None:
+        """Takes in paragraphs whose white space is blanks, none of it outside."""
+        self.runs.update(" ".join(paragraphs).split())
+        self.firsts.update([p.partition(" ")[0] for p in paragraphs])
+        ends = []
+        for p in paragraphs:
+            # each piece but the last ends with a point and a blank
+            pieces = f"{p} ".split(". ")
+            if len(pieces) > 1:
+                for x, y in zip(pieces, pieces[1:-1], strict=False):
+                    ends.append((x[x.rfind(" ") + 1 :], y.lstrip()[:1] or "."))
+                x = pieces[-2]
+                ends.append((x[x.rfind(" ") + 1 :], pieces[-1].lstrip()[:1] or " "))
+        self.ends.update(ends)
+
+    def rows(self) -> dict[str, list[int]]:
+        """See :func:`tally`."""
+        out: dict[str, list[int]] = defaultdict(lambda: [0] * 6)
+        last = {}
+        for run, k in self.firsts.items():
+            m = _TOKENS.match(run)
+            token = m.group().lstrip(_OPENERS) if m else ""
             if token[:1].isupper():
-                row[4] += k
-            if not pointed:
-                row[0] += k
-            elif j == len(run):
-                last[run] = row
-            elif run[j] in ",;:)":
+                out[token.lower()][5] += k
+        for run, k in self.runs.items():
+            for m in _POINT_OR_NOT.finditer(run):
+                raw, j = m.group(), m.end()
+                pointed = raw[-1] == "."
+                token = raw[: len(raw) - pointed].lstrip(_OPENERS)
+                row = out[token.lower()]
+                if token[:1].isupper():
+                    row[4] += k
+                if not pointed:
+                    row[0] += k
+                elif j == len(run):
+                    last[run[:-1]] = row
+                elif run[j] in ",;:)":
+                    row[1] += k
+                    row[2] += k * (run[j] != ")")
+        for (run, following), k in self.ends.items():
+            if run in last:
+                row = last[run]
                 row[1] += k
-                row[2] += k * (run[j] != ")")
-    for (run, following), k in ends.items():
-        if run in last:
-            row = last[run]
-            row[1] += k
-            row[2] += k * (following.islower() or following in ",;:")
-            row[3] += k * (following == " ")
-    return out
+                row[2] += k * (following.islower() or following in ",;:")
+                row[3] += k * (following == " ")
+        return out
+
+
+def tally(paragraphs: Iterable[str]) -> dict[str, list[int]]:
+    """Of each word in paragraphs whose white space is blanks: how often it occurs without a point; with a point, with a point and something that can't start a sentence, with
+    a point at the end of a paragraph; capitalised, capitalised at the start of a paragraph."""
+    counts = _Tally()
+    counts.add(list(paragraphs))
+    return counts.rows()
 
 
 def classes(counts: Iterable[tuple[str, int, int, int, int, int, int]]) -> tuple[dict[str, str], dict[str, str]]:
@@ -402,8 +450,28 @@ def _spot(end: int, last: int) -> int:
     return _CLOSE_BY if gap < 6 else _NEAR if gap < 14 else _FAR
 
 
+#: Transitions, and the scores below and above which a place is surely inside or a boundary by them.
+_sure: tuple[list | None, float, float] = None, 0.0, 0.0
+
+
+def _bounds(transitions: list) -> tuple[float, float]:
+    """(low, high): scores below are of places inside, and scores above of boundaries, whatever the tags of the places around."""
+    (ii, ib), (bi, bb) = ([x[:_OUTSIDE] for x in row] for row in transitions)
+    to = [b - a for one, two in ((ii, ib), (bi, bb)) for a, b in zip(one, two, strict=True)]
+    on = [0.0, *(b - a for one, two in ((ii, bi), (ib, bb)) for a, b in zip(one, two, strict=True))]
+    # a little apart, so that rounding does not matter
+    return -max(to) - max(on) - 1e-6, -min(to) - min(on) + 1e-6
+
+
 def decode(found: list[tuple[int, float]], transitions: list) -> list[int]:
     """Viterbi over the places (end, score of a boundary): the ends of the best sequence of tags. Before the first place is a boundary at 0."""
+    global _sure
+    if _sure[0] is not transitions:
+        _sure = transitions, *_bounds(transitions)
+    _, low, high = _sure
+    ends = [e for e, score in found if score > high]
+    if len(ends) + len([1 for _, score in found if score < low]) == len(found):
+        return ends  # no sequence of tags is better at any place
     (ii, ib), (bi, bb) = transitions
     inside, boundary, back, last = -1e30, 0.0, [], 0
     for end, score in found:
@@ -427,23 +495,20 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     if not text:
         return out
-    flat, score, transitions = _flat(text), model.score, model.transitions
-
-    def add(a: int, b: int) -> None:
-        while a < b and flat[a] == " ":
-            a += 1
-        while b > a and flat[b - 1] == " ":
-            b -= 1
-        if a < b:
-            out.append((a, b))
+    flat, scores, transitions, known = _flat(text), model.scores, model.transitions, model.known
 
     for start, end, is_list in units(text):
+        ends = [] if is_list else decode([(e, scores[key]) for e, key in places(flat[start:end].rstrip(" "), known)], transitions)
         a = start
-        if not is_list:
-            for e in decode([(e, score(key)) for e, key in places(flat[start:end].rstrip(" "))], transitions):
-                add(a, start + e)
-                a = start + e
-        add(a, end)
+        for b in (*(start + e for e in ends), end):
+            last = b
+            while a < last and flat[a] == " ":
+                a += 1
+            while last > a and flat[last - 1] == " ":
+                last -= 1
+            if a < last:
+                out.append((a, last))
+            a = b
     return out
 
 
@@ -462,11 +527,12 @@ def _joined(parts: list[str]) -> tuple[str, set[int]]:
 
 
 def _balanced(p: str) -> bool:
-    return p.count('"') % 2 == 0 and p.count("“") + p.count("„") * (p.count("”") > 0) <= p.count("”") + p.count("“") * (p.count("„") > 0) and p.count("«") == p.count("»") and p.count("「") == p.count("」")
+    return not _QUOTES.search(p) or p.count('"') % 2 == 0 and p.count("“") + p.count("„") * (p.count("”") > 0) <= p.count("”") + p.count("“") * (p.count("„") > 0) and p.count("«") == p.count("»") and p.count("「") == p.count("」")
 
 
 def _paragraphs(text: str) -> list[str]:
-    parts = (_flat(text[a:b]).strip(" ") for a, b, is_list in units(text) if not is_list)
+    flat = _flat(text)
+    parts = (flat[a:b].strip(" ") for a, b, is_list in units(text) if not is_list)
     return [p for p in parts if p]
 
 
@@ -478,19 +544,19 @@ def examples(model: Model, texts: list[str | None]) -> list[list[tuple[int, Key,
             # each sentence alone, and in twos and threes
             for i in range(0, len(sentences) - every + 1):
                 text, ends = _joined(sentences[i : i + every])
-                chains.append([(e, key, int(e in ends or e == len(text))) for e, key in places(text)])
+                chains.append([(e, key, int(e in ends or e == len(text))) for e, key in places(text, model.known)])
     return [c for c in chains if c] + [c for text in texts for c in of_text(model, text)]
 
 
 def of_text(model: Model, text: str | None) -> list[list[tuple[int, Key, int | None]]]:
     """The chains of the joined paragraphs of a text."""
-    chains, parts = [], [p for p in _paragraphs(text or "") if _balanced(p)]
+    chains, labels, parts = [], model.labels, [p for p in _paragraphs(text or "") if _balanced(p)]
     if any(_HAS_THAI.match(p[-1]) for p in parts):
         parts = [q for q in (" ".join(_PUNCTUATION.sub("", p).split()) for p in parts) if q]
     for i in range(0, len(parts), 6):
         whole, ends = _joined(parts[i : i + 6])
         numbers = {x + m.end() - 1 for x in (0, *(e + 1 for e in ends)) if (m := _NUMBERED.match(whole, x))}  # a number that starts a paragraph
-        chains.append([(e, key, 1 if e in ends else 0 if e in numbers else settled(model, key)) for e, key in places(whole)])
+        chains.append([(e, key, 1 if e in ends else 0 if e in numbers else labels[key]) for e, key in places(whole, model.known)])
     return [c for c in chains if c]
 
 
@@ -577,74 +643,130 @@ def _stepped(spot: np.ndarray, *others: np.ndarray) -> Iterator[list[np.ndarray]
         yield [there[there > 0], *(x[:, part][inside] for x in (spot, *others))]
 
 
-def _sums(own: np.ndarray, there: np.ndarray, spot: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As :meth:`_Chains.marginals`, from the ratio of boundary to inside at each place of a block: 0 and very large ones are labels."""
-    spot, moves = spot.astype(np.intp), np.exp(transitions)
-    # relative to staying inside
-    ib, bi, bb = (x[spot] for x in (moves[0, 1] / moves[0, 0], moves[1, 0] / moves[0, 0], moves[1, 1] / moves[0, 0]))
+def _ratios(transitions: np.ndarray) -> np.ndarray:
+    """Of the moves inside to boundary, boundary to inside and boundary to boundary, at each distance: relative to staying inside."""
+    moves = np.exp(transitions)
+    return np.stack([moves[0, 1], moves[1, 0], moves[1, 1]]) / moves[0, 0]
+
+
+def _passed(enter: np.ndarray, leave: np.ndarray, stay: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How probable a boundary is at each place of a block, at it and at the place before, and at the place before. Given are the ratios to staying inside, those of the boundary's
+    own with those of the moves to it."""
     starts = np.cumsum(there) - there
     # (places of a step, the places before them)
     steps = [(slice(a, a + m), slice(b, b + m)) for b, a, m in zip(starts, starts[1:], there[1:], strict=False)]
     first = slice(0, there[0])
-    ahead, later, both, before = np.empty(len(own)), np.ones(len(own)), np.empty(len(own)), np.ones(len(own))
-    ahead[first] = own[first] * bb[first] / bi[first]
+    ahead, later, both, before = np.empty(len(enter)), np.ones(len(enter)), np.empty(len(enter)), np.ones(len(enter))
+    left = np.empty(len(enter))
+    ahead[first] = stay[first] / leave[first]
     for now, last in steps:
         x = ahead[last]
-        ahead[now] = own[now] * (ib[now] + x * bb[now]) / (1 + x * bi[now])
+        y = np.multiply(x, leave[now], out=left[now])
+        z = np.multiply(x, stay[now], out=ahead[now])
+        z += enter[now]
+        z /= y + 1
     for now, last in reversed(steps):
-        x, y, on = ahead[last], own[now] * later[now], bi[now]
-        stay, enter = y * bb[now], 1 + y * ib[now]
-        later[last] = (on + stay) / enter
-        stay *= x
-        both[now] = stay / (enter + x * on + stay)
+        y, z = later[now], later[last]
+        on = np.multiply(stay[now], y, out=both[now])
+        np.add(leave[now], on, out=z)
+        y = enter[now] * y
+        y += 1
+        z /= y
+        on *= ahead[last]
+        y += left[now]
+        y += on
+        on /= y
     boundary = ahead * later
     boundary /= 1 + boundary
     # the tag before the first place is a boundary
     both[first] = boundary[first]
     for now, last in steps:
         before[now] = boundary[last]
-    every, two, one, old = (np.bincount(spot, x, minlength=4) for x in (None, both, boundary, before))
+    return boundary, both, before
+
+
+def _moves(every: np.ndarray | float, one: np.ndarray, two: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """Expected transitions from the sums at each distance: of places, of boundaries at them, at them and before them, and before them."""
     expected = np.zeros((2, 2, 4))
     expected[1, 1], expected[0, 1], expected[1, 0], expected[0, 0] = two, one - two, old - two, every - one - old + two
-    return boundary, expected
+    return expected
+
+
+def _sums(own: np.ndarray, there: np.ndarray, spot: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :meth:`_Chains.marginals`, from the ratio of boundary to inside at each place of a block: 0 and very large ones are labels."""
+    spot = spot.astype(np.intp)
+    ib, bi, bb = (x[spot] for x in _ratios(transitions))
+    boundary, both, before = _passed(own * ib, bi, own * bb, there)
+    every, two, one, old = (np.bincount(spot, x, minlength=4) for x in (None, both, boundary, before))
+    return boundary, _moves(every, one, two, old)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in two bytes each, if they fit."""
+    return x.astype(np.uint16 if x.max(initial=0) < 2**16 else np.int32)
 
 
 class _Part:
-    """Stretches as blocks, the numbers of their places' features, and what follows from wholly labelled stretches alone: all that a pass needs."""
+    """Stretches as blocks, the numbers of their places' features, and what follows from wholly labelled stretches alone: all that a pass needs. A place is its description's
+    number and distance in one (three times the one, plus the other)."""
 
     def __init__(self, data: _Chains, lists: list[list[int]]) -> None:
         self.n_keys = len(lists)
-        self.key_of = np.repeat(np.arange(1, self.n_keys + 1), [len(x) for x in lists]).astype(np.int32)
-        self.name_of = np.array([f for x in lists for f in x], np.int32)
+        self.sizes, self.name_of = np.array([len(x) for x in lists], np.int32), np.array([f for x in lists for f in x], np.int32)
         left = ((data.tag == 2) & (data.spot != _OUTSIDE)).any(axis=0)
-        self.blocks = list(_stepped(data.spot, data.row))
-        self.open = list(_stepped(data.spot[:, left], data.row[:, left], data.tag[:, left]))
+        places = data.row * _OUTSIDE + data.spot
+        self.blocks = [(there, _small(x)) for there, _, x in _stepped(data.spot, places)]
+        self.open = [(there, _small(x), tag) for there, _, x, tag in _stepped(data.spot[:, left], places[:, left], data.tag[:, left])]
         tag, spot = data.tag[:, ~left], data.spot[:, ~left]
         here = spot != _OUTSIDE
         self.labelled = np.bincount(data.row[:, ~left][here], tag[here], minlength=self.n_keys + 1).astype(float)
         before = np.concatenate([np.ones((1, tag.shape[1]), np.int8), tag[:-1]])
         self.moves = np.bincount((before[here] * 8 + tag[here] * 4 + spot[here]).astype(np.int64), minlength=16).reshape(2, 2, 4).astype(float)
+        self.moves[0, 0] -= np.bincount(spot[here], minlength=4)
+
+    @property
+    def key_of(self) -> np.ndarray:
+        return np.repeat(np.arange(1, self.n_keys + 1), self.sizes)
 
     def number(self, names: list[str], numbers: dict[str, int]) -> _Part:
-        """The part itself, with the numbers that its features have among all; features that have none are left out."""
-        new = np.array([numbers.get(f, -1) for f in names], np.int32)[self.name_of]
-        self.key_of, self.name_of = self.key_of[new >= 0], new[new >= 0]
+        """The part itself, with the numbers that its features have among all; features that have none are left out, and descriptions of equal features become one."""
+        new, key_of = np.array([numbers.get(f, -1) for f in names], np.int32)[self.name_of], self.key_of[:]
+        new, key_of = new[new >= 0], key_of[new >= 0]
+        ends = np.cumsum(np.bincount(key_of, minlength=self.n_keys + 1))
+        distinct: dict[bytes, int] = {}
+        same = np.array([0, *(distinct.setdefault(new[a:b].tobytes(), len(distinct) + 1) for a, b in zip(ends, ends[1:], strict=False))], np.int32)
+        lists = [np.frombuffer(x, np.int32) for x in distinct]
+        self.n_keys, self.sizes, self.name_of = len(lists), _small(np.array([len(x) for x in lists], np.int32)), _small(np.concatenate([np.zeros(0, np.int32), *lists]))
+        self.labelled = np.bincount(same, self.labelled, minlength=self.n_keys + 1)
+        self.blocks = [(there, _small(same[x // _OUTSIDE] * _OUTSIDE + x % _OUTSIDE)) for there, x in self.blocks]
+        self.open = [(there, _small(same[x // _OUTSIDE] * _OUTSIDE + x % _OUTSIDE), tag) for there, x, tag in self.open]
         return self
 
     def slope(self, weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
         """How the likelihood of the labels grows with each weight, and with each transition."""
-        scores = np.bincount(self.key_of, weights[self.name_of], minlength=self.n_keys + 1)
-        ratios = np.exp(np.clip(scores, -200, 200))
-        per_key, moves = self.labelled.copy(), self.moves.copy()
-        for there, spot, row in self.blocks:
-            boundary, expected = _sums(ratios[row], there, spot, transitions)
-            per_key -= np.bincount(row, boundary, minlength=len(per_key))
-            moves -= expected
-        for there, spot, row, tag in self.open:
-            boundary, expected = _sums(np.where(tag == 2, ratios[row], np.where(tag == 1, 1e60, 0.0)), there, spot, transitions)
-            per_key += np.bincount(row, boundary, minlength=len(per_key))
-            moves += expected
-        return np.concatenate([np.bincount(self.name_of, per_key[self.key_of], minlength=len(weights)), moves.ravel()])
+        # the places of wholly labelled stretches are in ``moves`` already, those of others cancel out
+        key_of, size = self.key_of, (self.n_keys + 1) * _OUTSIDE
+        scores = np.bincount(key_of, weights[self.name_of], minlength=self.n_keys + 1)
+        own, (ib, bi, bb) = np.exp(np.clip(scores, -200, 200))[:, None], _ratios(transitions)[:, :_OUTSIDE]
+        enter, leave, stay = (own * ib).ravel(), np.tile(bi, self.n_keys + 1), (own * bb).ravel()
+        # sums at each description and distance
+        one, two, old = (np.zeros(size) for _ in range(3))
+        for there, x in self.blocks:
+            x = x.astype(np.intp)
+            boundary, both, before = _passed(enter[x], leave[x], stay[x], there)
+            for total, values in ((one, boundary), (two, both), (old, before)):
+                total -= np.bincount(x, values, minlength=size)
+        ib, bi, bb = (np.append(a, 0.0) for a in (ib, bi, bb))
+        for there, x, tag in self.open:
+            x = x.astype(np.intp)
+            spot = x % _OUTSIDE
+            set_to = np.where(tag == 1, 1e60, 0.0)
+            boundary, both, before = _passed(np.where(tag == 2, enter[x], set_to * ib[spot]), bi[spot], np.where(tag == 2, stay[x], set_to * bb[spot]), there)
+            for total, values in ((one, boundary), (two, both), (old, before)):
+                total += np.bincount(x, values, minlength=size)
+        per_key = self.labelled + sum(one[spot::_OUTSIDE] for spot in range(_OUTSIDE))
+        moves = self.moves + _moves(0.0, *(np.array([*(x[spot::_OUTSIDE].sum() for spot in range(_OUTSIDE)), 0.0]) for x in (one, two, old)))
+        return np.concatenate([np.bincount(self.name_of, per_key[key_of], minlength=len(weights)), moves.ravel()])
 
 
 def _named(model: Model, chains: list[list[tuple[int, Key, int | None]]]) -> tuple[_Part, list[str], np.ndarray]:
@@ -653,7 +775,7 @@ def _named(model: Model, chains: list[list[tuple[int, Key, int | None]]]) -> tup
     names: dict[str, int] = {}
     part = _Part(data, [[names.setdefault(f, len(names)) for f in features(model, key)] for key in data.keys])
     times = np.bincount(data.row.ravel(), minlength=part.n_keys + 1)
-    return part, list(names), np.bincount(part.name_of, times[part.key_of], minlength=len(names)).astype(np.int64)
+    return part, list(names), np.bincount(part.name_of, np.repeat(times[1:], part.sizes), minlength=len(names)).astype(np.int64)
 
 
 def _climbed(model: Model, names: list[str], slope_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Model:
@@ -691,23 +813,46 @@ _TALLY_SQL = "name string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 _NAMED_SQL = "part binary, names array<string>, times array<bigint>"
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without searches for cycles of garbage, of which there are none among very many small objects."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+_spared: list[bool] = []
+
+
+def _spare_modules() -> None:
+    """Spark's workers search for cycles of garbage after each task; what was imported by then is left out from now on, which takes less time than a pass has otherwise."""
+    if not _spared:
+        _spared.append(True)
+        gc.collect()
+        gc.freeze()
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to the tallies of words, added up over many texts."""
-    total: dict[str, list[int]] = {}
+    counts = _Tally()
 
     def rows() -> pa.RecordBatch:
-        names, counts = list(total), np.array(list(total.values()), np.int64).reshape(-1, len(_COUNTS))
-        total.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T.copy())], schema=_TALLY)
+        found = counts.rows()
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c) for c in np.array(list(found.values()), np.int64).reshape(-1, len(_COUNTS)).T.copy())], schema=_TALLY)
 
-    for batch in batches:
-        for i in range(0, batch.num_rows, 5_000):
-            for name, row in tally(p for text in batch.column(0).slice(i, 5_000).to_pylist() for p in _paragraphs(text)).items():
-                total[name] = [a + b for a, b in zip(total[name], row, strict=True)] if name in total else row
-            if len(total) > 200_000:
-                yield rows()
-    if total:
-        yield rows()
+    with _uncollected():
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                counts.add([p for text in batch.column(0).slice(i, 500).to_pylist() for p in _paragraphs(text)])
+                if len(counts.runs) + len(counts.ends) > 400_000:
+                    yield rows()
+                    counts = _Tally()
+        if counts.runs:
+            yield rows()
 
 
 def _named_parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -719,17 +864,18 @@ def _named_parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
         chains.clear()
         return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary()), pa.array([names], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int64()))], names=["part", "names", "times"])
 
-    for batch in batches:
-        for i in range(0, batch.num_rows, 50):
-            for text in batch.column(0).slice(i, 50).to_pylist():
-                new = of_text(model, text)
-                chains += new
-                n += sum(map(len, new))
-                if n >= PART:
-                    yield row()
-                    n = 0
-    if chains:
-        yield row()
+    with _uncollected():
+        for batch in batches:
+            for i in range(0, batch.num_rows, 50):
+                for text in batch.column(0).slice(i, 50).to_pylist():
+                    new = of_text(model, text)
+                    chains += new
+                    n += sum(map(len, new))
+                    if n >= PART:
+                        yield row()
+                        n = 0
+        if chains:
+            yield row()
 
 
 def fitted(spark: SparkSession, documents: DataFrame) -> Model:
@@ -757,7 +903,10 @@ def fitted(spark: SparkSession, documents: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(pickle.loads(part.as_py()).number(found.as_py(), numbers.value))], pa.binary())], names=["part"])
 
     rows = cut(parts.select("part", "names").mapInArrow(number, "part binary"))
-    return _climbed(model, names, lambda weights, moves: _slope(rows, weights, moves))
+    # passes are short, so that many small tasks would take longer to start than to run
+    rows = rows.coalesce(max(1, -(-rows.count() // PARTS_EACH)))
+    tasks = rows.rdd.getNumPartitions()
+    return _climbed(model, names, lambda weights, moves: _slope(rows, tasks, weights, moves))
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
@@ -765,11 +914,12 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "slope": pa.array([sum(np.frombuffer(x) for _, x in rows).tobytes()], pa.binary())})
 
 
-def _slope(parts: DataFrame, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The sum of the slopes of all parts. Slopes of very many values are added up in slices by the executors."""
+def _slope(parts: DataFrame, tasks: int, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The sum of the slopes of all parts, which are in so many partitions. Slopes of very many values are added up in slices by the executors."""
     size = len(weights) + moves.size
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _spare_modules()
         total = np.zeros(size)
         for batch in batches:
             for part in batch.column(0):
@@ -779,7 +929,7 @@ def _slope(parts: DataFrame, weights: np.ndarray, moves: np.ndarray) -> np.ndarr
 
     schema = "slice int, task int, slope binary"
     slopes = parts.mapInArrow(one, schema)
-    if parts.rdd.getNumPartitions() * size > DIRECT:
+    if tasks * size > DIRECT:
         slopes = slopes.groupBy("slice").applyInArrow(_added, schema)
     total = np.zeros(size)
     for r in sorted(slopes.collect()):
@@ -815,16 +965,31 @@ def sentences(spark: SparkSession, documents: DataFrame, model: Model | None = N
 
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model(*own.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids, starts, ends = [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    found = split(text, mine)
-                    ids += [k] * len(found)
-                    starts += [a for a, _ in found]
-                    ends += [b for _, b in found]
-                if ids:
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(ids, np.int64))), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=_ARROW)
+        with _uncollected():
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    part = batch.slice(i, 500)
+                    ids, starts, ends = [], [], []
+                    for k, text in enumerate(part.column(1).to_pylist()):
+                        found = split(text, mine)
+                        ids += [k] * len(found)
+                        starts += [a for a, _ in found]
+                        ends += [b for _, b in found]
+                    if ids:
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(ids, np.int64))), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=_ARROW)
 
     return documents.select("doc_id", "text").mapInArrow(divided, _SQL)
+
+
+def distinct_sentences(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """As :func:`sentences`, each row once. Those of a document differ, so that only documents whose id is repeated are compared, unless there are very many of them."""
+    model = fitted(spark, documents)
+    repeated = cut(documents.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id")))
+    n = repeated.count()
+    if n > BROADCAST_ROWS:
+        return sentences(spark, documents, model).distinct()
+    if not n:
+        return sentences(spark, documents, model)
+    same = F.col("doc_id").eqNullSafe(F.col("repeated_id"))
+    once, more = (documents.join(F.broadcast(repeated), same, how) for how in ("left_anti", "left_semi"))
+    return sentences(spark, once, model).unionByName(sentences(spark, more, model).distinct())

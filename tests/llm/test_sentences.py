@@ -96,6 +96,22 @@ def test_viterbi_is_best():
         assert S.decode(found, moves) == [e for (e, _), tag in zip(found, best) if tag]
 
 
+def test_places_that_no_neighbour_changes_are_decided_alone(monkeypatch):
+    rng, alone = random.Random(12), 0
+    for spread in (2, 6, 20):
+        for _ in range(150):
+            found, at = [], 0
+            moves = [[[rng.uniform(-1, 1) for _ in range(3)] + [0.0] for _ in range(2)] for _ in range(2)]
+            for _ in range(rng.randint(0, 6)):
+                at += rng.randint(1, 20)
+                found.append((at, rng.uniform(-spread, spread)))
+            best = max(itertools.product((0, 1), repeat=len(found)), key=lambda tags: chain_score(found, tags, moves))
+            assert S.decode(found, moves) == [e for (e, _), tag in zip(found, best) if tag]
+            low, high = S._bounds(moves)
+            alone += bool(found) and all(s < low or s > high for _, s in found)
+    assert 50 < alone < 400
+
+
 def test_marginals_are_sums_over_all_tags():
     rng = random.Random(3)
     key = lambda i: (".", "word", str(i), "upper", "", True, "")
@@ -224,3 +240,52 @@ def test_sums_of_ratios_are_those_of_scores():
 def test_empty_documents_leave_the_seeds(spark):
     frame = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert set(S.fitted(spark, frame).weights) == set(S.train([]).weights)
+
+
+def test_passes_run_on_compact_parts_in_few_tasks(spark, monkeypatch):
+    # descriptions that differ only in words too rare for features are one, a place takes two bytes, and a task has several parts
+    texts = [f"It is of w{i}. The rule holds. Size {i}.5 is it. {t}" for i, t in enumerate(TEXTS[:300])]
+    want, tasks = S.train(texts), []
+    part, found, times = S._named(want, S.examples(want, texts))
+    keys, size = part.n_keys, sum(len(x) for _, x in part.blocks)
+    names = sorted(f for f, n in zip(found, times) if n >= 3)
+    part.number(found, {f: i for i, f in enumerate(names)})
+    assert part.n_keys < 0.8 * keys and {x.dtype for _, x in part.blocks} == {np.dtype(np.uint16)} and sum(len(x) for _, x in part.blocks) == size
+    monkeypatch.setattr(S, "PART", 500)
+    slope = S._slope
+    monkeypatch.setattr(S, "_slope", lambda rows, n, *x: tasks.append((rows.count(), n)) or slope(rows, n, *x))
+    got = S.fitted(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9))
+    assert len(tasks) == S.PASSES and all(n <= -(-parts // S.PARTS_EACH) and parts > 9 for parts, n in tasks)
+    assert set(got.weights) == set(want.weights) and [got.weights[f] for f in want.weights] == pytest.approx(list(want.weights.values()), abs=1e-6)
+
+
+def test_sentences_of_repeated_ids_come_once(spark, tmp_path, monkeypatch):
+    rows = [(1, "One. Two."), (1, "One. Two."), (2, "One. Two."), (1, "One. It."), (None, "Three."), (None, "Three."), (None, "Four it is."), (3, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted([(1, 0, 4), (1, 5, 9), (1, 5, 8), (2, 0, 4), (2, 5, 9), (None, 0, 6), (None, 0, 11)], key=str)
+    assert sorted([tuple(r) for r in catalogue.p10_found(spark, str(tmp_path)).collect()], key=str) == want
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 1)
+    assert sorted([tuple(r) for r in catalogue.p10_found(spark, str(tmp_path)).collect()], key=str) == want
+
+
+def test_blocks_and_lists_as_line_by_line():
+    def units(text):
+        start, at = None, 0
+        for line in text.split("\n"):
+            is_list = S.re.match(r"[^\S\n]*(?:- |\d+\) )", line)
+            if is_list or not line.strip():
+                if start is not None:
+                    yield start, at, False
+                if is_list:
+                    yield at, at + len(line), True
+                start = None
+            elif start is None:
+                start = at
+            at += len(line) + 1
+        if start is not None:
+            yield start, len(text), False
+
+    rng = random.Random(9)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["a", "- ", "1) ", " ", "\t", "\n", "\n", "\x1f", " ", "\r"]) for _ in range(rng.randint(0, 12)))
+        assert list(S.units(text)) == list(units(text)), text
